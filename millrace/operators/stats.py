@@ -9,29 +9,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.semantics import col, sample_kurtosis, sample_skewness
+from millrace.functions.semantics import INTEGRAL, col, sample_kurtosis, sample_skewness
 from millrace.operators.ordering import CHUNK, _over_chunks, with_chunks
 
 #: Up to this many rows the built-in exact percentile (a value -> count map in one task) is used.
-EXACT_ROWS = 1_000_000
-#: A bracket with no more values than this is sorted in one task.
-BRACKET_ROWS = 50_000
-SKETCH_ACCURACY = 2_000
-#: Aggregate expressions per job, to stay below code generation limits.
-EXPRESSIONS_PER_JOB = 200
+EXACT_ROWS = 100_000
+#: Histogram rows per scan of ``order_statistics``.
+BINS_PER_SCAN = 65_536
+#: Aggregate expressions per job. The JVM does not compile methods beyond a size a few dozen
+#: aggregates reach; since a job reads only its own columns, more jobs read no more data.
+EXPRESSIONS_PER_JOB = 24
+JOBS_AT_ONCE = 4
 
 
 def aggregate_in_jobs(df: DataFrame, exprs: Sequence[Column], limit: int = EXPRESSIONS_PER_JOB) -> dict:
     """Run many aggregates over one table and return name -> value."""
+    batches = [exprs[at : at + limit] for at in range(0, len(exprs), limit)]
+    run = lambda batch: df.agg(*batch).first().asDict()
+    if len(batches) == 1:
+        return run(batches[0])
     out: dict = {}
-    for at in range(0, len(exprs), limit):
-        out.update(df.agg(*exprs[at : at + limit]).first().asDict())
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        for values in pool.map(run, batches):
+            out.update(values)
     return out
 
 
@@ -68,18 +76,29 @@ def moments(df: DataFrame, columns: Sequence[str], want: Sequence[str]) -> dict[
 
 
 def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, value as text, n)`` for the non-null values of many columns, in one shuffle.
+    """``(column, l, d, s, n)``: counts of the non-null values of many columns, in one shuffle.
 
-    Counting combines before the shuffle, so a hot value costs one row per task.
+    A value sits in the field of its type (integer, fraction, else text), so numbers are
+    grouped as numbers. Counting combines before the shuffle: a hot value costs one row per task.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns]
-    )
+    pairs = []
+    for c in columns:
+        dtype, x = df.schema[c].dataType, col(c)
+        whole = isinstance(dtype, INTEGRAL)
+        part = isinstance(dtype, (T.FloatType, T.DoubleType))
+        pairs.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                (x.cast("bigint") if whole else F.lit(None).cast("bigint")).alias("l"),
+                (x.cast("double") if part else F.lit(None).cast("double")).alias("d"),
+                (F.lit(None).cast("string") if whole or part else x.cast("string")).alias("s"),
+            )
+        )
     return (
-        df.select(F.explode(pairs).alias("__pair"))
-        .select("__pair.column", "__pair.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        df.select(F.explode(F.array(*pairs)).alias("__pair"))
+        .select("__pair.*")
+        .where("l IS NOT NULL OR d IS NOT NULL OR s IS NOT NULL")
+        .groupBy("column", "l", "d", "s")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -88,13 +107,15 @@ def value_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: distinct values, mode (smallest on ties), its frequency, entropy in bits, count."""
     counts = value_counts_long(df, columns)
     n = F.col("n").cast("double")
-    return counts.groupBy("column").agg(
+    value = F.struct("l", "d", "s")
+    out = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
+        F.min_by(value, F.struct(-F.col("n"), value)).alias("top"),
         F.max("n").alias("freq"),
         F.sum("n").alias("total"),
         (F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("entropy"),
     )
+    return out.withColumn("top", F.coalesce("top.s", F.col("top.l").cast("string"), F.col("top.d").cast("string")))
 
 
 def value_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
@@ -121,108 +142,83 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     return out
 
 
-def _narrow(df: DataFrame, targets: dict[tuple[str, int], Column]) -> dict[tuple[str, int], float]:
-    """Exact order statistics by shrinking a bracket around every wanted rank.
+def order_statistics(
+    df: DataFrame, wanted: dict[str, set[int]], ends: dict[str, tuple[float, float, int]]
+) -> dict[tuple[str, int], float]:
+    """Exact values at given ranks (from 0) of numeric columns, by refining histograms.
 
-    Each scan sketches the rank inside the open bracket, counts exactly what lies below
-    the new ends, and stops once an end is the answer or few values are left. State per
-    task is one sketch per rank, whatever the table size; three or four scans are usual.
+    ``ends`` holds min, max and count per column. The first scan counts all columns in equal-width
+    bins and keeps the smallest and largest value of each; a rank is found once its bin holds one
+    value. Later scans look only into the bins that still hide a rank (a broadcast of at most one
+    row per rank). Counts combine before the shuffle and the driver sees at most BINS_PER_SCAN
+    rows. Three scans for a million values, five for 10^12.
     """
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple] = {}
-    names = sorted({c for c, _ in targets})
-    ends = aggregate_in_jobs(
-        df,
-        [e for i, c in enumerate(names) for e in (
-            F.min(targets_value(targets, c)).alias(f"lo{i}"),
-            F.max(targets_value(targets, c)).alias(f"hi{i}"),
-            F.count(targets_value(targets, c)).alias(f"n{i}"),
-        )],
+    names, searched = [], {}
+    for c, ranks in wanted.items():
+        low, high, n = ends[c]
+        found.update({(c, k): low if k == 0 else high for k in ranks if k == 0 or k == n - 1 or low == high})
+        left = {k for k in ranks if (c, k) not in found}
+        if left:
+            searched[len(names)] = left
+            names.append(c)
+    if not names:
+        return found
+    spark = df.sparkSession
+    first = max(64, min(4096, BINS_PER_SCAN // len(names)))
+    pairs = [F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(names)]
+    lows = F.array(*[F.lit(float(ends[c][0])) for c in names])
+    widths = F.array(*[F.lit(float(ends[c][1]) - float(ends[c][0])) for c in names])
+    values = (
+        df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(F.col("v").isNotNull())
+        .withColumn("b", _bin(F.col("v"), F.get(lows, F.col("c")), F.get(widths, F.col("c")), first))
     )
-    where = {c: i for i, c in enumerate(names)}
-    for (c, rank), value in targets.items():
-        i = where[c]
-        if rank == 0:
-            found[c, rank] = ends[f"lo{i}"]
-        elif rank == ends[f"n{i}"] - 1:
-            found[c, rank] = ends[f"hi{i}"]
-        else:
-            # open interval of values, number of values at or below its lower end, values inside
-            open_[c, rank] = (None, None, 0, ends[f"n{i}"])
-    while open_:
-        keys = list(open_)
-        small = [k for k in keys if open_[k][3] <= BRACKET_ROWS]
-        large = [k for k in keys if open_[k][3] > BRACKET_ROWS]
-        if small:
-            lists = aggregate_in_jobs(
-                df,
-                [
-                    F.get(
-                        F.sort_array(F.collect_list(_inside(targets[k], open_[k]))), F.lit(k[1] - open_[k][2])
-                    ).alias(f"v{j}")
-                    for j, k in enumerate(small)
-                ],
-            )
-            for j, k in enumerate(small):
-                found[k] = lists[f"v{j}"]
-                del open_[k]
-        if not large:
-            continue
-        sketches = aggregate_in_jobs(
-            df,
-            [
-                F.percentile_approx(
-                    _inside(targets[k], open_[k]), _around(k[1], open_[k]), SKETCH_ACCURACY
-                ).alias(f"s{j}")
-                for j, k in enumerate(large)
-            ],
+    counted = [F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+    rows = [((x["c"], x["b"]), x) for x in values.groupBy("c", "b").agg(*counted).collect()]
+    # a span: (column number, first bin, bounds, ranks below it, ranks to find)
+    spans = []
+    for i, ranks in searched.items():
+        mine = sorted((x for (c, _), x in rows if c == i), key=lambda x: x["b"])
+        spans += [(i, x["b"], *s) for x, s in _hits(found, names[i], mine, 0, ranks)]
+    while spans:
+        bins = max(2, min(1024, BINS_PER_SCAN // len(spans)))
+        table = spark.createDataFrame(
+            [(k, c, b, low, high - low, high) for k, (c, b, low, high, _, _) in enumerate(spans)],
+            "span int, c int, b int, low double, width double, high double",
         )
-        checks = []
-        for j, k in enumerate(large):
-            low, high = sketches[f"s{j}"]
-            v = targets[k]
-            for name, test in (("ltl", v < low), ("lel", v <= low), ("lth", v < high), ("leh", v <= high)):
-                checks.append(F.count(F.when(test, True)).alias(f"{name}{j}"))
-        counted = aggregate_in_jobs(df, checks)
-        for j, k in enumerate(large):
-            low, high = sketches[f"s{j}"]
-            rank = k[1]
-            below, upto = counted[f"ltl{j}"], counted[f"lel{j}"]
-            below_high, upto_high = counted[f"lth{j}"], counted[f"leh{j}"]
-            floor, ceiling, base, inside = open_[k]
-            if below <= rank < upto:
-                found[k] = low
-            elif below_high <= rank < upto_high:
-                found[k] = high
-            elif rank < below:
-                open_[k] = (floor, low, base, below - base)
-            elif rank >= upto_high:
-                open_[k] = (high, ceiling, upto_high, base + inside - upto_high)
-            else:
-                open_[k] = (low, high, upto, below_high - upto)
-            if k in found:
-                del open_[k]
+        inside = values.join(F.broadcast(table), ["c", "b"]).where("v BETWEEN low AND high")
+        inside = inside.select("span", "v", _bin(F.col("v"), F.col("low"), F.col("width"), bins).alias("bin"))
+        by_span: dict[int, list] = {}
+        for x in inside.groupBy("span", "bin").agg(*counted).collect():
+            by_span.setdefault(x["span"], []).append(x)
+        deeper = []
+        for k, (c, b, _, _, base, ranks) in enumerate(spans):
+            mine = sorted(by_span[k], key=lambda x: x["bin"])
+            deeper += [(c, b, *s) for _, s in _hits(found, names[c], mine, base, ranks)]
+        spans = deeper
     return found
 
 
-def targets_value(targets: dict, column: str) -> Column:
-    return next(v for (c, _), v in targets.items() if c == column)
-
+def _bin(v: Column, low: Column, width: Column, bins: int) -> Column:
+    return F.least(F.floor((v - low) / width * bins), F.lit(bins - 1)).cast("int")
 
-def _inside(value: Column, bracket: tuple) -> Column:
-    floor, ceiling, _, _ = bracket
-    inside = value.isNotNull()
-    if floor is not None:
-        inside = inside & (value > F.lit(floor))
-    if ceiling is not None:
-        inside = inside & (value < F.lit(ceiling))
-    return F.when(inside, value)
 
-
-def _around(rank: int, bracket: tuple) -> list[float]:
-    _, _, base, inside = bracket
-    at, slack = (rank - base) / inside, 2.0 / SKETCH_ACCURACY
-    return [max(0.0, at - slack), min(1.0, at + slack)]
+def _hits(found: dict, name: str, rows: list, at: int, ranks: set[int]):
+    """Settle the ranks whose bin shows their value; yield the bins to look into."""
+    for x in rows:
+        low, high, last = x["low"], x["high"], at + x["n"] - 1
+        left = set()
+        for k in ranks:
+            if at <= k <= last:
+                if k == at or low == high:
+                    found[name, k] = low
+                elif k == last:
+                    found[name, k] = high
+                else:
+                    left.add(k)
+        if left:
+            yield x, (low, high, at, left)
+        at = last + 1
 
 
 def exact_quantiles(
@@ -240,19 +236,29 @@ def exact_quantiles(
         ]
         got = aggregate_in_jobs(df, exprs)
         return {c: got[f"q{i}"] or [None] * len(probs) for i, c in enumerate(columns)}
-    sizes = moments(df, columns, ["count"])
-    targets: dict[tuple[str, int], Column] = {}
+    facts = aggregate_in_jobs(
+        df,
+        [
+            e
+            for i, c in enumerate(columns)
+            for e in (
+                F.min(col(c)).cast("double").alias(f"lo{i}"),
+                F.max(col(c)).cast("double").alias(f"hi{i}"),
+                F.count(col(c)).alias(f"n{i}"),
+            )
+        ],
+    )
+    ends = {c: (facts[f"lo{i}"], facts[f"hi{i}"], facts[f"n{i}"]) for i, c in enumerate(columns)}
+    wanted = {}
     for c in columns:
-        n = sizes[c]["count"]
-        for p in probs:
-            if n:
-                at = (n - 1) * p
-                targets[c, int(at)] = col(c).cast("double")
-                targets[c, min(int(at) + 1, n - 1)] = col(c).cast("double")
-    found = _narrow(df, targets) if targets else {}
+        n = ends[c][2]
+        ranks = {k for p in probs for k in (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1))}
+        if n:
+            wanted[c] = ranks
+    found = order_statistics(df, wanted, ends)
     out = {}
     for c in columns:
-        n = sizes[c]["count"]
+        n = ends[c][2]
         values = []
         for p in probs:
             if not n:

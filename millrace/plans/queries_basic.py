@@ -117,8 +117,7 @@ def _(t):
 
 @query(
     "p9_derived_column",
-    f"SELECT l_orderkey, l_linenumber, {r('l_extendedprice * (1 - l_discount)', 2)} AS revenue FROM lineitem",
-    digits=2,
+    f"SELECT l_orderkey, l_linenumber, {r('l_extendedprice * (1 - l_discount)')} AS revenue FROM lineitem",
 )
 def _(t):
     out = project.derive(t.lineitem, "revenue", "l_extendedprice * (1 - l_discount)")

@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "millrace", shuffle_partiti
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in DEFAULTS.items():

@@ -1,0 +1 @@
+"""Models, their evaluation and their interpretation."""

@@ -137,7 +137,7 @@ def _route(boxes: _Boxes, k: int, first: bool):
                     {
                         "q": part["q"].to_numpy()[q],
                         "slot": slots[q].astype(np.int32),
-                        "x": list(x[q]),
+                        "x": pd.Series(list(x[q]), dtype=object),
                         "box": boxes.ids[b].astype(np.int64),
                     }
                 )

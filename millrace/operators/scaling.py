@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,7 @@ class Scaler:
     def apply(self) -> Column:
         x = col(self.column).cast("double")
         if self.quantiles:
-            uniform = _rank_between(x, self.quantiles)
-            return normal_quantile(uniform) if self.method == "quantile_normal" else uniform
+            return quantile_map(x, self.quantiles, self.method == "quantile_normal")
         return (x - F.lit(float(self.shift))) / F.lit(float(self.scale))
 
 
@@ -85,58 +86,37 @@ def row_normalise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _rank_between(x: Column, quantiles: Sequence[float]) -> Column:
-    """Piecewise linear share of values below ``x``; a flat stretch gives its middle."""
-    n = len(quantiles)
-    q = F.array(*[F.lit(float(v)) for v in quantiles])
-    jumps = [1 << b for b in reversed(range(n.bit_length()))]
-
-    def search(strict: bool) -> Column:
-        def step(found, jump):
-            probe = found + jump
-            value = F.get(q, F.least(probe, F.lit(n)) - 1)
-            return F.when((probe <= n) & ((value < x) if strict else (value <= x)), probe).otherwise(found)
-
-        return F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), step)
-
-    def share(i: Column) -> Column:
-        return i / F.lit(n - 1)
-
-    below, upto = search(True), search(False)  # quantiles < x, quantiles <= x
-    low, high = F.get(q, below - 1), F.get(q, below)
-    between = share(below - 1) + (x - low) / (high - low) * F.lit(1.0 / (n - 1))
-    flat = (share(below) + share(upto - 1)) / 2
-    inner = F.when(upto > below, flat).otherwise(between)
-    return (
-        F.when(x.isNull(), F.lit(None).cast("double"))
-        .when(x <= F.lit(float(quantiles[0])), F.lit(0.0))
-        .when(x >= F.lit(float(quantiles[-1])), F.lit(1.0))
-        .otherwise(inner)
-    )
+def quantile_map(x: Column, quantiles: Sequence[float], normal: bool) -> Column:
+    """Share of values below ``x`` by interpolation in the quantile table, or its normal score.
+
+    A flat stretch of the table gives its middle: the mean of the interpolation from both sides.
+    """
+    q = np.array(quantiles, dtype=float)
+    ref = np.linspace(0.0, 1.0, len(q))
+
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(dtype=float)
+        u = 0.5 * (np.interp(v, q, ref) - np.interp(-v, -q[::-1], -ref[::-1]))
+        u = np.where(v <= q[0], 0.0, np.where(v >= q[-1], 1.0, u))
+        return pd.Series(normal_quantile(u) if normal else u)
 
+    return run(x)
 
-def normal_quantile(u: Column) -> Column:
+
+def normal_quantile(u: np.ndarray) -> np.ndarray:
     """Inverse standard normal, clipped 1e-7 from the ends (Acklam's rational approximation)."""
-    # Coefficients of the approximation.
+    # Coefficients of the approximation, highest power first.
     a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
-    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572]
+    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
     c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
-    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416]
-
-    def poly(coefficients, x, start=None):
-        out = F.lit(0.0) if start is None else start
-        for k in coefficients:
-            out = out * x + F.lit(k)
-        return out
-
-    p = F.greatest(F.least(u, F.lit(1 - 1e-7)), F.lit(1e-7))
+    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+    p = np.clip(u, 1e-7, 1 - 1e-7)
     q = p - 0.5
-    r = q * q
-    middle = poly(a, r) * q / (poly(b, r) * r + 1)
-    tail = lambda x: poly(c, x) / (poly(d, x) * x + 1)
-    left = tail(F.sqrt(-2 * F.log(p)))
-    right = -tail(F.sqrt(-2 * F.log(1 - p)))
-    return F.when(u.isNull(), F.lit(None).cast("double")).when(p < 0.02425, left).when(p > 1 - 0.02425, right).otherwise(middle)
+    middle = q * np.polyval(a, q * q) / np.polyval(b, q * q)
+    t = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
+    tail = np.polyval(c, t) / np.polyval(d, t)
+    return np.where(p < 0.02425, tail, np.where(p > 1 - 0.02425, -tail, middle))
 
 
 def recommend_scalers(df: DataFrame) -> DataFrame:

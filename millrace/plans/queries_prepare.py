@@ -30,7 +30,7 @@ def _(t):
 @query(
     "t3_title_case",
     """SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(lower(p_name || '''s ' || p_brand || 'x'), '([a-z]+|[^a-z]+)'),
- w -> upper(w[1]) || w[2:]), 'string_agg', '') AS name FROM part""",
+ lambda w: upper(w[1]) || w[2:]), 'string_agg', '') AS name FROM part""",
 )
 def _(t):
     return t.part.select("p_partkey", sem.title_case(F.concat("p_name", F.lit("'s "), "p_brand", F.lit("x"))).alias("name"))

@@ -22,6 +22,8 @@ from millrace.operators.ordering import CHUNK, _over_chunks, with_chunks
 
 #: Up to this many rows the built-in exact percentile (a value -> count map in one task) is used.
 EXACT_ROWS = 100_000
+#: With more quantiles than this per column, their ranks are looked up in histograms at any size.
+MANY_PROBS = 50
 #: Histogram rows per scan of ``order_statistics``.
 BINS_PER_SCAN = 65_536
 #: Aggregate expressions per job. The JVM does not compile methods beyond a size a few dozen
@@ -229,7 +231,7 @@ def exact_quantiles(
     if not columns:
         return {}
     rows = df.count() if rows is None else rows
-    if rows <= EXACT_ROWS:
+    if rows <= EXACT_ROWS and len(probs) <= MANY_PROBS:
         exprs = [
             F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
             for i, c in enumerate(columns)

@@ -106,7 +106,7 @@ def fit_forest(df: DataFrame, features: Sequence[str], trees: int = TREES, sampl
     dealt = dealt.withColumn("__draw", draw).where(F.col("__draw") <= F.lit(int(share * (1 << 30))))
     names = [f"x{i}" for i in range(len(features))]
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple[int], pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.nsmallest(size, "__draw")[names].to_numpy(dtype=float)
         feature, cut, left, right, depth = _grow_tree(x, seed * 100_003 + int(key[0]))
         return pd.DataFrame({"tree": [int(key[0])], "feature": [feature], "cut": [cut], "left": [left], "right": [right], "depth": [depth]})

@@ -4,6 +4,7 @@
 def _load():
     from millrace.plans import (  # noqa: F401
         queries_basic,
+        queries_models,
         queries_order,
         queries_prepare,
     )

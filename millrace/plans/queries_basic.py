@@ -126,9 +126,8 @@ def _(t):
 
 @query(
     "p9_z_normalised",
-    f"""SELECT o_orderkey, {r('(o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER ()', 3)} AS z
+    f"""SELECT o_orderkey, {r('(o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER ()', 4)} AS z
  FROM orders""",
-    digits=3,
 )
 def _(t):
     return project.z_normalised(t.orders, "o_totalprice", "z").select("o_orderkey", "z")
@@ -262,9 +261,8 @@ for _how, _expr in _A1.items():
 
 @query(
     "a2_group_two_keys",
-    f"""SELECT l_returnflag, l_linestatus, {r('avg(l_extendedprice)', 2)} AS value FROM {GAPPY}
+    f"""SELECT l_returnflag, l_linestatus, {r('avg(l_extendedprice)', 4)} AS value FROM {GAPPY}
  WHERE l_returnflag IS NOT NULL GROUP BY 1, 2""",
-    digits=2,
 )
 def _(t):
     return agg.group_aggregate(gappy(t), ["l_returnflag", "l_linestatus"], "l_extendedprice", "mean")
@@ -297,13 +295,13 @@ def _(t):
     return agg.null_profile(gappy(t))
 
 
-def _describe_sql(c, table, digits=3):
+def _describe_sql(c, table, digits=4):
     return f"""SELECT '{c}' AS "column", count({c}) AS "count", {r(f'avg({c})', digits)} AS mean, {r(f'stddev_samp({c})', digits)} AS std,
  {r(f'min({c})', digits)} AS "min", {r(f'quantile_cont({c}, 0.25)', digits)} AS q25, {r(f'quantile_cont({c}, 0.5)', digits)} AS q50,
  {r(f'quantile_cont({c}, 0.75)', digits)} AS q75, {r(f'max({c})', digits)} AS "max" FROM {table}"""
 
 
-@query("a6_describe", union_all(_describe_sql(c, GAPPY) for c in NUMBERS), digits=3)
+@query("a6_describe", union_all(_describe_sql(c, GAPPY) for c in NUMBERS))
 def _(t):
     return agg.describe(gappy(t), NUMBERS)
 
@@ -315,14 +313,13 @@ _FREQ = lambda c, table: f"(SELECT count(*) FROM {table} WHERE {c} IS NOT NULL G
 @query(
     "a7_describe_all",
     union_all(
-        [f"SELECT *, NULL AS \"unique\", NULL AS top, NULL AS freq FROM ({_describe_sql('c_acctbal', 'customer', 2)})"]
+        [f"SELECT *, NULL AS \"unique\", NULL AS top, NULL AS freq FROM ({_describe_sql('c_acctbal', 'customer', 4)})"]
         + [
             f"""SELECT '{c}', count({c}), NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(DISTINCT {c}),
  {_FIRST(c, 'customer')}, {_FREQ(c, 'customer')} FROM customer"""
             for c in ("c_name", "c_mktsegment")
         ]
     ),
-    digits=2,
 )
 def _(t):
     return agg.describe_all(t.customer.drop("c_custkey", "c_nationkey"))
@@ -343,11 +340,10 @@ def _(t):
 @query(
     "a9_distribution",
     union_all(
-        f"""SELECT '{c}' AS "column", {r(f'avg({c})', 3)} AS mean, {r(f'median({c})', 3)} AS median, {r(f'stddev_samp({c})', 3)} AS std,
- {r(f'skewness({c})', 3)} AS skewness, {r(f'kurtosis({c})', 3)} AS kurtosis FROM {GAPPY}"""
+        f"""SELECT '{c}' AS "column", {r(f'avg({c})', 4)} AS mean, {r(f'median({c})', 4)} AS median, {r(f'stddev_samp({c})', 4)} AS std,
+ {r(f'skewness({c})', 4)} AS skewness, {r(f'kurtosis({c})', 4)} AS kurtosis FROM {GAPPY}"""
         for c in NUMBERS
     ),
-    digits=3,
 )
 def _(t):
     return agg.distribution(gappy(t), NUMBERS)
@@ -359,11 +355,10 @@ _PROBS = [0.01, 0.1, 0.333, 0.9, 0.99]
 @query(
     "a10_quantiles",
     union_all(
-        f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS p, {r(f'quantile_cont({c}, {p})', 3)} AS value FROM lineitem"
+        f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS p, {r(f'quantile_cont({c}, {p})', 4)} AS value FROM lineitem"
         for c in NUMBERS
         for p in _PROBS
     ),
-    digits=3,
 )
 def _(t):
     return agg.quantile_table(t.lineitem, NUMBERS, _PROBS)
@@ -372,9 +367,8 @@ def _(t):
 @query(
     "a11_mad",
     union_all(
-        f"SELECT '{c}' AS \"column\", {r(f'median({c})', 3)} AS median, {r(f'mad({c})', 3)} AS mad FROM {GAPPY}" for c in NUMBERS
+        f"SELECT '{c}' AS \"column\", {r(f'median({c})', 4)} AS median, {r(f'mad({c})', 4)} AS mad FROM {GAPPY}" for c in NUMBERS
     ),
-    digits=3,
 )
 def _(t):
     return agg.mad_table(gappy(t), NUMBERS)
@@ -496,10 +490,9 @@ def _(t):
 @query(
     "a20_kpi",
     union_all(
-        f"SELECT '{c}' AS kpi, {r(f'avg({c})', 2)} AS mean, {r(f'max({c})', 2)} AS \"max\" FROM lineitem"
+        f"SELECT '{c}' AS kpi, {r(f'avg({c})', 4)} AS mean, {r(f'max({c})', 4)} AS \"max\" FROM lineitem"
         for c in ("l_quantity", "l_extendedprice")
     ),
-    digits=2,
 )
 def _(t):
     return agg.kpi(t.lineitem, ["l_quantity", "l_extendedprice"])
@@ -533,9 +526,8 @@ def _(t):
     f"""WITH b AS (SELECT quantile_cont(l_extendedprice, 0.75) + 0.5 * (quantile_cont(l_extendedprice, 0.75)
  - quantile_cont(l_extendedprice, 0.25)) AS hi FROM lineitem)
  SELECT CASE WHEN l_extendedprice > hi THEN 'outlier' ELSE 'normal' END AS "group", count(*) AS "count",
- {r('avg(l_extendedprice)', 2)} AS mean, {r('median(l_extendedprice)', 2)} AS median, {r('stddev_samp(l_extendedprice)', 2)} AS std
+ {r('avg(l_extendedprice)', 4)} AS mean, {r('median(l_extendedprice)', 4)} AS median, {r('stddev_samp(l_extendedprice)', 4)} AS std
  FROM lineitem, b GROUP BY 1""",
-    digits=2,
 )
 def _(t):
     from millrace.operators import outliers
@@ -547,11 +539,10 @@ def _(t):
 @query(
     "a24_before_after",
     union_all(
-        f"""SELECT '{s}' AS stage, 'l_quantity' AS "column", {r(f'avg({e})', 3)} AS mean, {r(f'stddev_samp({e})', 3)} AS std,
- {r(f'min({e})', 3)} AS "min", {r(f'max({e})', 3)} AS "max" FROM lineitem"""
+        f"""SELECT '{s}' AS stage, 'l_quantity' AS "column", {r(f'avg({e})', 4)} AS mean, {r(f'stddev_samp({e})', 4)} AS std,
+ {r(f'min({e})', 4)} AS "min", {r(f'max({e})', 4)} AS "max" FROM lineitem"""
         for s, e in (("before", "l_quantity"), ("after", "ln(1 + l_quantity)"))
     ),
-    digits=3,
 )
 def _(t):
     from millrace.operators.outliers import log_transform
@@ -591,7 +582,6 @@ for _keep, _dir in (("first", "ASC"), ("last", "DESC")):
         f"d3_keep_{_keep}",
         f"""SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
  ORDER BY o_orderdate {_dir}, o_orderkey {_dir}) AS rn FROM orders) WHERE rn = 1""",
-        digits=2,
     )
     def _(t, keep=_keep):
         kept = dedup.keep_one(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], keep)
@@ -606,7 +596,7 @@ def _entropy_sql(c, table):
  (SELECT count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM {table} WHERE {c} IS NOT NULL GROUP BY {c}))"""
 
 
-def validation_sql(table, columns, digits=3):
+def validation_sql(table, columns, digits=4):
     """The validation record in SQL; every number and date column reads as float64, text as object."""
     parts = []
     for c, kind in columns.items():
@@ -636,12 +626,12 @@ def validation_sql(table, columns, digits=3):
  FROM ({union_all(parts)})"""
 
 
-@query("y5_column_validation", validation_sql("lineitem", LINEITEM), digits=3)
+@query("y5_column_validation", validation_sql("lineitem", LINEITEM))
 def _(t):
     return validation.validate_columns(t.lineitem)
 
 
-@query("y5_column_validation_gaps", validation_sql(GAPPY, LINEITEM), digits=3)
+@query("y5_column_validation_gaps", validation_sql(GAPPY, LINEITEM))
 def _(t):
     return validation.validate_columns(gappy(t))
 
@@ -729,7 +719,6 @@ def _(t):
 @query(
     "y7_distribution_health",
     f"SELECT \"column\", distribution_health FROM ({validation_sql('events', {'event_id': 'int64', 'ts': 'datetime64[ns]', 'user_id': 'int64', 'event_type': 'object', 'value': 'float64'})})",
-    digits=3,
 )
 def _(t):
     return validation.distribution_health(t.events.drop("props"))
@@ -751,9 +740,14 @@ def _(t):
 
 @query(
     "y9_potential_targets",
-    """SELECT 'l_linestatus' AS "column", count(DISTINCT l_linestatus) AS "unique", 'binary' AS reason FROM lineitem
- UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag), 'few values' FROM lineitem
- UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber), 'few values' FROM lineitem""",
+    "SELECT * FROM ("
+    + union_all(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS "unique", CASE WHEN count(DISTINCT {c}) = 2 THEN 'binary' ELSE 'few values' END AS reason
+ FROM lineitem"""
+        for c, k in LINEITEM.items()
+        if k in ("int64", "object")
+    )
+    + """) WHERE "unique" BETWEEN 2 AND 10""",
 )
 def _(t):
     return validation.potential_targets(t.lineitem)
@@ -761,9 +755,8 @@ def _(t):
 
 @query(
     "y10_robustness",
-    f"""SELECT {r('avg(overall_score)', 2)} AS overall_robustness, count(*) FILTER (overall_score >= 80) AS high_quality_columns,
+    f"""SELECT {r('avg(overall_score)', 4)} AS overall_robustness, count(*) FILTER (overall_score >= 80) AS high_quality_columns,
  count(*) FILTER (overall_score < 60) AS low_quality_columns FROM ({validation_sql(GAPPY, LINEITEM, 6)})""",
-    digits=2,
 )
 def _(t):
     return validation.robustness(gappy(t))
@@ -772,7 +765,6 @@ def _(t):
 @query(
     "y10_robustness_breakdown",
     f"SELECT \"column\", completeness_pct, uniqueness_pct, validity_score, overall_score FROM ({validation_sql(GAPPY, LINEITEM)})",
-    digits=3,
 )
 def _(t):
     return validation.robustness_breakdown(gappy(t))
@@ -920,7 +912,7 @@ def _(t):
 
 @query(
     "y22_dataset_validation",
-    f"""WITH c AS (SELECT {r('corr(l_quantity, l_extendedprice)', 3)} AS r, count(*) AS n, sum(l_quantity*l_quantity) AS a,
+    f"""WITH c AS (SELECT {r('corr(l_quantity, l_extendedprice)', 4)} AS r, count(*) AS n, sum(l_quantity*l_quantity) AS a,
  sum(l_extendedprice*l_extendedprice) AS b, sum(l_quantity*l_extendedprice) AS ab FROM lineitem),
  v AS (SELECT r, 1 / (1 - ab * ab / (a * b)) AS vif FROM c),
  d AS (SELECT (SELECT count(*) FROM lineitem) AS n, count(*) AS k FROM (SELECT DISTINCT l_quantity, l_extendedprice, l_returnflag FROM lineitem)),
@@ -931,13 +923,12 @@ def _(t):
  + CASE WHEN ue BETWEEN 0.7 AND 0.95 THEN 100 WHEN ue < 0.1 THEN 30 WHEN ue > 0.99 THEN 70 ELSE 80 END
  + CASE WHEN uf BETWEEN 0.01 AND 0.1 THEN 100 WHEN uf > 0.8 THEN 30 ELSE 70 END) / 3.0 AS score FROM u)
  SELECT 'null_rate' AS "check", 'table' AS subject, 0.0::DOUBLE AS value, 'ok' AS status
- UNION ALL SELECT 'duplicate_rate', 'table', {r('(n - k) * 100.0 / n', 3)}, CASE WHEN n = k THEN 'ok' WHEN (n - k) * 100.0 / n <= 10 THEN 'warn' ELSE 'bad' END FROM d
- UNION ALL SELECT 'cardinality', 'table', {r('score', 3)}, CASE WHEN score >= 80 THEN 'ok' WHEN score >= 60 THEN 'warn' ELSE 'bad' END FROM h
- UNION ALL SELECT 'imbalance', 'l_returnflag', {r('ratio', 3)}, CASE WHEN ratio > 5 THEN 'significant' WHEN ratio > 2 THEN 'moderate' ELSE 'balanced' END FROM f
- UNION ALL SELECT 'vif', 'l_quantity', {r('vif', 3)}, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END FROM v
- UNION ALL SELECT 'vif', 'l_extendedprice', {r('vif', 3)}, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END FROM v
+ UNION ALL SELECT 'duplicate_rate', 'table', {r('(n - k) * 100.0 / n', 4)}, CASE WHEN n = k THEN 'ok' WHEN (n - k) * 100.0 / n <= 10 THEN 'warn' ELSE 'bad' END FROM d
+ UNION ALL SELECT 'cardinality', 'table', {r('score', 4)}, CASE WHEN score >= 80 THEN 'ok' WHEN score >= 60 THEN 'warn' ELSE 'bad' END FROM h
+ UNION ALL SELECT 'imbalance', 'l_returnflag', {r('ratio', 4)}, CASE WHEN ratio > 5 THEN 'significant' WHEN ratio > 2 THEN 'moderate' ELSE 'balanced' END FROM f
+ UNION ALL SELECT 'vif', 'l_quantity', {r('vif', 4)}, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END FROM v
+ UNION ALL SELECT 'vif', 'l_extendedprice', {r('vif', 4)}, CASE WHEN vif > 10 THEN 'high' WHEN vif > 5 THEN 'moderate' ELSE 'low' END FROM v
  UNION ALL SELECT 'correlation', 'l_quantity~l_extendedprice', r, 'high' FROM v WHERE abs(r) > 0.8""",
-    digits=3,
 )
 def _(t):
     line = t.lineitem.select("l_quantity", "l_extendedprice", "l_returnflag")

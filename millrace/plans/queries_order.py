@@ -173,7 +173,7 @@ def _(t):
 # --- chart data -------------------------------------------------------------------------------
 
 
-@query("h1_bar", f"SELECT p_brand, {r('avg(p_retailprice)', 3)} AS value FROM part GROUP BY 1", digits=3)
+@query("h1_bar", f"SELECT p_brand, {r('avg(p_retailprice)', 4)} AS value FROM part GROUP BY 1")
 def _(t):
     return charts.bar(t.part, "p_brand", "p_retailprice", "mean")
 
@@ -199,9 +199,8 @@ def _(t):
 @query(
     "h5_histogram",
     f"""WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 30 AS w FROM lineitem)
- SELECT bin, count(*) AS "count", {r('any_value(lo) + bin * any_value(w)', 2)} AS low, {r('any_value(lo) + (bin + 1) * any_value(w)', 2)} AS high
+ SELECT bin, count(*) AS "count", {r('any_value(lo) + bin * any_value(w)', 4)} AS low, {r('any_value(lo) + (bin + 1) * any_value(w)', 4)} AS high
  FROM (SELECT CAST(least(floor((l_extendedprice - lo) / w), 29) AS INTEGER) AS bin, lo, w FROM lineitem, b) GROUP BY bin""",
-    digits=2,
 )
 def _(t):
     return charts.histogram(t.lineitem, "l_extendedprice", 30)
@@ -240,12 +239,11 @@ def _(t):
 @query(
     "h8_box",
     f"""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)
- SELECT l.l_returnflag, {r('any_value(q1)', 2)} AS q1, {r('any_value(median)', 2)} AS median, {r('any_value(q3)', 2)} AS q3,
- {r('min(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 2)} AS whisker_low,
- {r('max(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 2)} AS whisker_high,
+ SELECT l.l_returnflag, {r('any_value(q1)', 4)} AS q1, {r('any_value(median)', 4)} AS median, {r('any_value(q3)', 4)} AS q3,
+ {r('min(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 4)} AS whisker_low,
+ {r('max(l_extendedprice) FILTER (l_extendedprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))', 4)} AS whisker_high,
  count(*) FILTER (l_extendedprice NOT BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers
  FROM lineitem l JOIN q ON l.l_returnflag = q.l_returnflag GROUP BY 1""",
-    digits=2,
 )
 def _(t):
     return charts.box(t.lineitem, "l_extendedprice", "l_returnflag")
@@ -284,8 +282,7 @@ def _(t):
 
 @query(
     "h12_radar",
-    f"SELECT *, {r('max(greatest(p_size, p_retailprice)) OVER ()', 3)} AS axis_max FROM (SELECT p_type, {r('avg(p_size)', 3)} AS p_size, {r('avg(p_retailprice)', 3)} AS p_retailprice FROM part GROUP BY 1 ORDER BY 1 LIMIT 5)",
-    digits=3,
+    f"SELECT *, {r('max(greatest(p_size, p_retailprice)) OVER ()', 4)} AS axis_max FROM (SELECT p_type, {r('avg(p_size)', 4)} AS p_size, {r('avg(p_retailprice)', 4)} AS p_retailprice FROM part GROUP BY 1 ORDER BY 1 LIMIT 5)",
 )
 def _(t):
     return charts.radar(t.part, ["p_size", "p_retailprice"], "p_type")
@@ -346,7 +343,7 @@ def _(t):
     return charts.candlestick(days, "bucket", "open", "high", "low", "close")
 
 
-@query("h18_gauge", f"SELECT 'c_acctbal' AS kpi, {r('avg(c_acctbal)', 3)} AS mean, {r('max(c_acctbal)', 3)} AS \"max\" FROM customer", digits=3)
+@query("h18_gauge", f"SELECT 'c_acctbal' AS kpi, {r('avg(c_acctbal)', 4)} AS mean, {r('max(c_acctbal)', 4)} AS \"max\" FROM customer")
 def _(t):
     return charts.gauge(t.customer, "c_acctbal")
 
@@ -373,8 +370,7 @@ def _(t):
 
 @query(
     "h22_filtered_dashboard",
-    f"SELECT 'p_retailprice' AS kpi, {r('avg(p_retailprice)', 3)} AS mean, {r('max(p_retailprice)', 3)} AS \"max\" FROM part WHERE p_type IN ('PROMO', 'SMALL') AND contains(lower(p_name), 'red')",
-    digits=3,
+    f"SELECT 'p_retailprice' AS kpi, {r('avg(p_retailprice)', 4)} AS mean, {r('max(p_retailprice)', 4)} AS \"max\" FROM part WHERE p_type IN ('PROMO', 'SMALL') AND contains(lower(p_name), 'red')",
 )
 def _(t):
     filters = [("values", "p_type", ["PROMO", "SMALL"]), ("text", "p_name", "red")]
@@ -383,9 +379,8 @@ def _(t):
 
 @query(
     "h23_trend_line",
-    f"""SELECT {r('regr_slope(l_extendedprice, l_quantity)', 3)} AS slope, {r('regr_intercept(l_extendedprice, l_quantity)', 3)} AS intercept,
- {r('regr_r2(l_extendedprice, l_quantity)', 3)} AS r2, count(*) AS points FROM lineitem""",
-    digits=3,
+    f"""SELECT {r('regr_slope(l_extendedprice, l_quantity)', 4)} AS slope, {r('regr_intercept(l_extendedprice, l_quantity)', 4)} AS intercept,
+ {r('regr_r2(l_extendedprice, l_quantity)', 4)} AS r2, count(*) AS points FROM lineitem""",
 )
 def _(t):
     return charts.trend_line(t.lineitem, "l_quantity", "l_extendedprice")
@@ -479,8 +474,7 @@ def _(t):
 @query(
     "k8_history_summary",
     f"""SELECT count(*) AS total_steps, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (event_type = 'error') AS failed,
- count(DISTINCT event_type) AS operations, min(ts) AS "start", max(ts) AS "end", {r('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6', 3)} AS duration_seconds FROM events""",
-    digits=3,
+ count(DISTINCT event_type) AS operations, min(ts) AS "start", max(ts) AS "end", {r('(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6', 4)} AS duration_seconds FROM events""",
 )
 def _(t):
     return sinks.summarise_history(event_log(t))

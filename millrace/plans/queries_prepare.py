@@ -304,10 +304,10 @@ def _(t):
 
 @query(
     "m10_fill_expression",
-    f"SELECT {K}, {r('coalesce(l_quantity, l_extendedprice / 1000)')} AS l_quantity FROM {GAPPY}",
+    f"SELECT {K}, {r('coalesce(l_quantity, l_extendedprice / 100)')} AS l_quantity FROM {GAPPY}",
 )
 def _(t):
-    return missing.fill_expression(gappy(t), "l_quantity", "l_extendedprice / 1000").select(*KEY, "l_quantity")
+    return missing.fill_expression(gappy(t), "l_quantity", "l_extendedprice / 100").select(*KEY, "l_quantity")
 
 
 HALF = """(SELECT p_partkey AS a, CASE WHEN p_size <= 45 THEN p_size END AS b, CASE WHEN p_size > 40 THEN p_size END AS mostly_missing,
@@ -365,10 +365,9 @@ for _m, (_param, _sql) in BOUNDS.items():
 
     @query(
         f"{_ID[_m]}_{_m}_bounds",
-        f"""SELECT '{P}' AS "column", '{_m}' AS method, {r('any_value(lo)', 2)} AS low, {r('any_value(hi)', 2)} AS high,
- count(*) FILTER ({P} < lo OR {P} > hi) AS outliers, count({P}) AS "values", {r(f'count(*) FILTER ({P} < lo OR {P} > hi) * 100.0 / count({P})', 2)} AS outlier_pct
+        f"""SELECT '{P}' AS "column", '{_m}' AS method, {r('any_value(lo)', 4)} AS low, {r('any_value(hi)', 4)} AS high,
+ count(*) FILTER ({P} < lo OR {P} > hi) AS outliers, count({P}) AS "values", {r(f'count(*) FILTER ({P} < lo OR {P} > hi) * 100.0 / count({P})', 4)} AS outlier_pct
  FROM lineitem, ({_sql})""",
-        digits=2,
     )
     def _(t, m=_m, param=_param):
         return outliers.report(t.lineitem, [P], m, param)
@@ -399,8 +398,7 @@ def _(t):
 
 @query(
     "x8_cap",
-    f"SELECT {K}, {r(f'CASE WHEN {P} < lo THEN lo WHEN {P} > hi THEN hi ELSE {P} END', 2)} AS {P} FROM lineitem, ({BOUNDS['iqr'][1]})",
-    digits=2,
+    f"SELECT {K}, {r(f'CASE WHEN {P} < lo THEN lo WHEN {P} > hi THEN hi ELSE {P} END', 4)} AS {P} FROM lineitem, ({BOUNDS['iqr'][1]})",
 )
 def _(t):
     return outliers.treat(t.lineitem, [P], "iqr", "cap", 0.8).select(*KEY, P)
@@ -408,8 +406,7 @@ def _(t):
 
 @query(
     "x8_cap_without_bounds",
-    f"SELECT {K}, {r(f'CASE WHEN {P} < lo THEN lo WHEN {P} > hi THEN hi ELSE {P} END', 2)} AS {P} FROM lineitem, ({BOUNDS['percentile'][1]})",
-    digits=2,
+    f"SELECT {K}, {r(f'CASE WHEN {P} < lo THEN lo WHEN {P} > hi THEN hi ELSE {P} END', 4)} AS {P} FROM lineitem, ({BOUNDS['percentile'][1]})",
 )
 def _(t):
     return outliers.treat(t.lineitem, [P], "zscore", "cap").select(*KEY, P)
@@ -445,9 +442,8 @@ def _(t):
 @query(
     "x13_wide_cap",
     "SELECT o_orderkey, "
-    + r("CASE WHEN o_totalprice < q1 - 3 * (q3 - q1) THEN q1 - 3 * (q3 - q1) WHEN o_totalprice > q3 + 3 * (q3 - q1) THEN q3 + 3 * (q3 - q1) ELSE o_totalprice END", 2)
+    + r("CASE WHEN o_totalprice < q1 - 3 * (q3 - q1) THEN q1 - 3 * (q3 - q1) WHEN o_totalprice > q3 + 3 * (q3 - q1) THEN q3 + 3 * (q3 - q1) ELSE o_totalprice END", 4)
     + " AS o_totalprice FROM orders, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)",
-    digits=2,
 )
 def _(t):
     out = outliers.wide_cap(t.orders.select("o_orderkey", "o_totalprice"))

@@ -39,12 +39,17 @@ def aggregate_in_jobs(df: DataFrame, exprs: Sequence[Column], limit: int = EXPRE
     if len(batches) == 1:
         return run(batches[0])
     out: dict = {}
-    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
-        for values in pool.map(run, batches):
-            out.update(values)
+    for values in at_once(*[lambda b=b: run(b) for b in batches]):
+        out.update(values)
     return out
 
 
+def at_once(*jobs) -> list:
+    """Results of independent jobs; Spark shares its slots among the ones submitted together."""
+    with ThreadPoolExecutor(JOBS_AT_ONCE) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 #: What ``moments`` can compute, by name.
 MEASURES = {
     "count": lambda c: F.count(c),
@@ -131,17 +136,12 @@ def value_facts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
     """Most frequent value per column in the column's own type, the smallest on ties."""
-    out = {}
-    for c in columns:
-        row = (
-            df.where(col(c).isNotNull())
-            .groupBy(col(c).alias("v"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
-            .first()
-        )
-        out[c] = row["v"]
-    return out
+
+    def mode(c):
+        counts = df.where(col(c).isNotNull()).groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).first()["v"]
+
+    return dict(zip(columns, at_once(*[lambda c=c: mode(c) for c in columns])))
 
 
 def order_statistics(

@@ -30,7 +30,7 @@ from millrace.functions.semantics import (
 from millrace.operators.aggregate import correlated_pairs, imbalance, variance_inflation
 from millrace.operators.dedup import duplicates_table
 from millrace.operators.outliers import range_facts
-from millrace.operators.stats import aggregate_in_jobs, value_facts
+from millrace.operators.stats import aggregate_in_jobs, at_once, value_facts
 
 #: Column-name keywords of likely targets.
 TARGET_WORDS = ["target", "label", "class", "outcome", "result", "prediction"]
@@ -52,10 +52,12 @@ def column_facts(df: DataFrame, columns: Sequence[str]) -> tuple[dict[str, dict]
                 F.count(to_moment(x)).alias(f"dates{i}"),
                 F.count_if(F.lower(x).isin(TRUE_WORDS + FALSE_WORDS)).alias(f"flags{i}"),
             ]
-    got = aggregate_in_jobs(df, exprs)
+    got, seen, far = at_once(
+        lambda: aggregate_in_jobs(df, exprs),
+        lambda: value_facts(df, columns),
+        lambda: range_facts(df, [c for c in columns if c in numbers]),
+    )
     rows = got["rows"]
-    seen = value_facts(df, columns)
-    far = range_facts(df, [c for c in columns if c in numbers], rows)
     facts = {}
     for i, c in enumerate(columns):
         facts[c] = {

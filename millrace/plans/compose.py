@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col, numeric_columns, small_table, text_columns
 from millrace.operators import convert, encoding, missing, outliers, project, scaling, selection
-from millrace.operators.dedup import drop_duplicates, duplicate_count
+from millrace.operators.dedup import drop_duplicates
 from millrace.operators.stats import aggregate_in_jobs
 from millrace.session import cut_lineage
 
@@ -31,9 +31,9 @@ def auto_clean(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, gaps, _ = missing.with_nulls(out)
     out = cut_lineage(missing.smart_missing(out))
     rows.append((3, "missing cells handled", sum(gaps.values())))
-    repeated = duplicate_count(out)
+    before = out.count()
     out = cut_lineage(drop_duplicates(out))
-    rows.append((4, "duplicate rows dropped", repeated))
+    rows.append((4, "duplicate rows dropped", before - out.count()))
     numbers = numeric_columns(out)
     out = clip_isolated(out, numbers)
     rows.append((5, "columns checked for isolated values", len(numbers)))
@@ -50,7 +50,8 @@ def auto_clean(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def quick_clean(df: DataFrame) -> DataFrame:
     """Duplicates, median or mode for gaps, stripped text, text that is mostly numbers as numbers."""
-    out = drop_duplicates(df)
+    # several fits follow, which would each repeat the shuffle
+    out = cut_lineage(drop_duplicates(df))
     out = missing.fill(out, missing.fit_median_or_mode(out))
     out = convert.clean_text(out, blanks=False, title_below=None)
     return convert.auto_convert(out, "number")
@@ -66,7 +67,8 @@ def auto_fix(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows += [(1, f"negative values in {c}", negatives[c]) for c in fixed]
     before = out.count()
     out = project.drop_zero_rows(out)
-    rows.append((2, "rows with a zero amount", before - out.count()))
+    after = out.count()
+    rows.append((2, "rows with a zero amount", before - after))
     bounds = {c: d for c, d in outliers.fit(out, numeric_columns(out), "iqr", 3.0).items() if d.low is not None and d.high > d.low}
     if bounds:
         far = aggregate_in_jobs(out, [F.count_if(d.flag()).alias(c) for c, d in bounds.items()])
@@ -75,8 +77,8 @@ def auto_fix(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     _, gaps, _ = missing.with_nulls(out)
     out = missing.fill(out, missing.fit_median_or_mode(out))
     rows += [(4, f"missing values in {c}", n) for c, n in gaps.items() if n]
-    rows.append((5, "duplicate rows", duplicate_count(out)))
-    out = drop_duplicates(out)
+    out = cut_lineage(drop_duplicates(out))
+    rows.append((5, "duplicate rows", after - out.count()))
     out = convert.clean_text(out, blanks=False, title_below=50)
     dates = project.named_like(out.columns, project.DATE_WORDS)
     out = convert.convert_date_columns(out)

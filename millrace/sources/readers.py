@@ -17,6 +17,10 @@ def read_csv(
     spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None
 ) -> DataFrame:
     """CSV with header. ``skip_rows`` leaves out that many lines before the header of every file."""
+    if encoding.lower() in ("cp1252", "windows-1252"):
+        # Spark does not decode it, but reads latin-1, which differs in 32 characters only
+        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema))
+    encoding = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1"}.get(encoding.lower(), encoding)
     options = {"header": True, "sep": sep, "encoding": encoding, "nanValue": "NaN"}
     if schema is None:
         options["inferSchema"] = True
@@ -27,7 +31,7 @@ def read_csv(
         return nan_to_null(reader.csv(path))
     head = _first_lines(spark, path, skip_rows + 1, encoding)
     header = head[skip_rows]
-    lines = _without_head(spark.read.option("encoding", encoding).text(path), skip_rows + 1)
+    lines = _without_head(_lines(spark, path, encoding), skip_rows + 1)
     names = header.split(sep)
     if schema is None:
         text = T.StructType([T.StructField(n.strip().strip('"'), T.StringType()) for n in names])
@@ -41,6 +45,27 @@ def read_csv(
     return nan_to_null(lines.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*"))
 
 
+def _western(df: DataFrame) -> DataFrame:
+    """Text read as latin-1 to what it says in cp1252."""
+    codes = bytes(range(0x80, 0xA0))
+    pairs = [(chr(c), bytes([c]).decode("cp1252", "ignore")) for c in codes]
+    old, new = zip(*[(a, b) for a, b in pairs if b])
+    table = str.maketrans("".join(old), "".join(new))
+    fixed = {
+        f.name: F.translate(col(f.name), "".join(old), "".join(new))
+        for f in df.schema.fields
+        if isinstance(f.dataType, T.StringType)
+    }
+    out = df.withColumns(fixed) if fixed else df
+    return out.toDF(*[c.translate(table) for c in out.columns])
+
+
+def _lines(spark: SparkSession, path, encoding: str) -> DataFrame:
+    """Lines in ``value``. The CSV source decodes any encoding, which the text source does not."""
+    whole = {"encoding": encoding, "sep": "\u0001", "quote": "", "escape": "", "header": False}
+    return spark.read.options(**whole).schema("value string").csv(path)
+
+
 def _without_head(text: DataFrame, n: int) -> DataFrame:
     """Drop the first ``n`` lines of every file. They lie in the file's first block, whose lines come
     in order, so each task can count them alone and files stay splittable."""
@@ -59,7 +84,7 @@ def _without_head(text: DataFrame, n: int) -> DataFrame:
 
 
 def _first_lines(spark: SparkSession, path, n: int, encoding: str) -> list[str]:
-    return [r["value"] for r in spark.read.option("encoding", encoding).text(path).limit(n).collect()]
+    return [r["value"] for r in _lines(spark, path, encoding).limit(n).collect()]
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
@@ -176,8 +201,7 @@ def explode_payloads(df: DataFrame, column: str, path: str = "", schema: str | N
     listed = F.when(kind == "[", checked).otherwise(F.concat(F.lit("["), checked, F.lit("]")))
     texts = df.select(F.explode(F.from_json(listed, "array<string>")).alias("record"))
     if schema is None:
-        inferred = df.sparkSession.read.json(texts.select(F.col("record").alias("value")))
-        return inferred
+        schema = df.sparkSession.read.json(texts.rdd.map(lambda r: r[0])).schema
     return texts.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
@@ -190,7 +214,7 @@ def from_raw(spark: SparkSession, raw: str, fmt: str, sep: str = ",") -> DataFra
         data = json.loads(raw)
         records = data if isinstance(data, list) else [data]
         lines = spark.createDataFrame([(json.dumps(x),) for x in records], "value string")
-        return nan_to_null(spark.read.json(lines))
+        return nan_to_null(spark.read.json(lines.rdd.map(lambda r: r[0])))
     rows = [(line,) for line in raw.strip("\n").split("\n")]
     if fmt == "csv":
         lines = spark.createDataFrame(rows, "value string").coalesce(1)

@@ -479,13 +479,24 @@ def insights(df: DataFrame, name: str = "dataset") -> DataFrame:
 def sample_values(df: DataFrame, n: int = 3) -> DataFrame:
     """Per column: type, non-null count and the ``n`` smallest distinct values as text."""
     plain = nested_to_text(df)
-    exprs = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(plain.columns)]
-    got = aggregate_in_jobs(plain, exprs)
-    rows = []
-    for i, f in enumerate(plain.schema.fields):
-        text = col(f.name).cast("string")
-        least = plain.select(text.alias("v")).where("v is not null").distinct().orderBy("v").limit(n).collect()
-        rows.append((f.name, dtype_name(df.schema[f.name].dataType), got[f"n{i}"], [r["v"] for r in least]))
+    texts = {c: col(c).cast("string") for c in plain.columns}
+    counts = aggregate_in_jobs(plain, [F.count(x).alias(f"n{i}") for i, x in enumerate(texts.values())])
+    # n scans for all columns, without a shuffle: each finds the least value above the last one
+    found: dict[str, list] = {c: [] for c in texts}
+    for _ in range(n):
+        exprs = []
+        for i, (c, x) in enumerate(texts.items()):
+            above = F.when(x > F.lit(found[c][-1]), x) if found[c] else x
+            if not found[c] or found[c][-1] is not None:
+                exprs.append(F.min(above).alias(f"v{i}"))
+        got = aggregate_in_jobs(plain, exprs) if exprs else {}
+        for i, c in enumerate(texts):
+            if f"v{i}" in got:
+                found[c].append(got[f"v{i}"])
+    rows = [
+        (f.name, dtype_name(f.dataType), counts[f"n{i}"], [v for v in found[f.name] if v is not None])
+        for i, f in enumerate(df.schema.fields)
+    ]
     return small_table(
         df.sparkSession, rows, "column string, data_type string, non_null bigint, samples array<string>"
     )

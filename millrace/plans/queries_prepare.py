@@ -549,7 +549,16 @@ def _(t):
     return scaling.recommend_encoders(t.part)
 
 
-@query("z9_apply_recommended")
+_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query(
+    "z9_apply_recommended",
+    f"""WITH m AS (SELECT avg(p_retailprice) AS m FROM part), g AS (SELECT p_name AS name, avg(p_retailprice) AS v, count(*) AS n FROM part GROUP BY 1)
+ SELECT {r('CASE WHEN n = 1 THEN m ELSE m * (1 - 1 / (1 + exp(-(n - 20) / 10.0))) + v / (1 + exp(-(n - 20) / 10.0)) END')} AS p_name,
+ CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS p_brand, {r('(p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ()')} AS p_size, {r('p_retailprice')} AS p_retailprice,
+ {', '.join(f"CAST(p_type = '{v}' AS INTEGER) AS p_type_{v}" for v in _TYPES)} FROM part p JOIN g ON p.p_name = g.name, m""",
+)
 def _(t):
     return scaling.apply_recommended(t.part.drop("p_partkey"), "p_retailprice")
 

@@ -97,7 +97,7 @@ def _(t):
 # --- conversion -------------------------------------------------------------------------------
 
 #: parts with a size written as text, some of it unreadable
-CODED = "(SELECT p_partkey, CASE WHEN p_size > 45 THEN 'n/a' WHEN p_size > 40 THEN NULL ELSE ' ' || p_size END AS size_text, CASE WHEN p_size > 20 THEN '2024-02-' || lpad(CAST(p_size - 20 AS VARCHAR), 2, '0') ELSE p_brand END AS day_text FROM part)"
+CODED = "(SELECT p_partkey, CASE WHEN p_size > 48 THEN 'n/a' WHEN p_size > 46 THEN NULL ELSE ' ' || p_size END AS size_text, CASE WHEN p_size > 20 THEN '2024-02-' || lpad(CAST(p_size - 20 AS VARCHAR), 2, '0') ELSE p_brand END AS day_text FROM part)"
 
 
 def coded(t):
@@ -105,7 +105,7 @@ def coded(t):
     day = F.concat(F.lit("2024-02-"), F.lpad((size - 20).cast("string"), 2, "0"))
     return t.part.select(
         "p_partkey",
-        F.when(size > 45, "n/a").when(size > 40, None).otherwise(F.concat(F.lit(" "), size.cast("string"))).alias("size_text"),
+        F.when(size > 48, "n/a").when(size > 46, None).otherwise(F.concat(F.lit(" "), size.cast("string"))).alias("size_text"),
         F.when(size > 20, day).otherwise(F.col("p_brand")).alias("day_text"),
     )
 
@@ -135,9 +135,7 @@ def _(t):
     f"SELECT p_partkey, try_cast(trim(size_text) AS DOUBLE) AS size_text, try_cast(day_text AS TIMESTAMP) AS day_text FROM {CODED}",
 )
 def _(t):
-    out = convert.auto_convert(coded(t), "share")
-    size = out.schema["size_text"].dataType.simpleString()
-    return out if size == "double" else out.withColumn("size_text", sem.to_number(F.col("size_text")))
+    return convert.auto_convert(coded(t), "share")
 
 
 @query(

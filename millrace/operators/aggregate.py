@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from millrace.functions.semantics import (
     col,
     numeric_columns,
-    sample_kurtosis,
-    sample_skewness,
     small_table,
     text_columns,
 )

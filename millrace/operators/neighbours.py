@@ -21,10 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions.semantics import col
-from millrace.operators.stats import exact_quantiles
 from millrace.session import cut_lineage
 
 CELL_ROWS = 4_000

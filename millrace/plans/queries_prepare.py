@@ -312,7 +312,14 @@ HALF = """(SELECT p_partkey AS a, CASE WHEN p_size <= 45 THEN p_size END AS b, C
  CASE WHEN p_size > 5 THEN p_type END AS kind FROM part)"""
 
 
-@query("m11_smart_missing")
+@query(
+    "m11_smart_missing",
+    f"""WITH h AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, kind FROM {HALF}),
+ n AS (SELECT a, avg(v) AS v FROM (SELECT q.a, d.b AS v, row_number() OVER (PARTITION BY q.a ORDER BY abs(q.a - d.a), d.b) AS rn
+ FROM h q, h d WHERE q.b IS NULL AND d.b IS NOT NULL) WHERE rn <= 5 GROUP BY 1)
+ SELECT {r('h.a')} AS a, {r('coalesce(h.b, n.v)')} AS b, coalesce(kind, (SELECT kind FROM h WHERE kind IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS kind
+ FROM h LEFT JOIN n ON h.a = n.a""",
+)
 def _(t):
     half = t.part.select(
         F.col("p_partkey").cast("double").alias("a"),

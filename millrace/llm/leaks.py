@@ -25,7 +25,8 @@ WINDOW = 10
 #: Bytes of item text whose windows make one automaton; further items go to further automata, one scan each.
 BLOCK_BYTES = 2 << 20
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that is not yet in lower case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _RESULT = (
     "n_words long, n_hit long, items array<string>, word_spans array<struct<first:long,last:long>>, "
     "char_spans array<struct<start:long,end:long>>"

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact, leaks, mixing, near, quality
+from millrace.llm import exact, leaks, licenses, mixing, near, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return exact.groups(table(spark, folder, "documents"))
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count(table(spark, folder, "documents"), tokens.from_sentencepiece())
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -66,9 +71,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    lexicon = toxicity.learn(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, lexicon).select("doc_id", toxicity.held_out(5, 0).alias("held_out"), "score", "predicted", "n_matches")
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near.clusters(table(spark, folder, "documents"))
 
 
+@query("op10_licenses")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

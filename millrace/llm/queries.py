@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact, leaks, licenses, mixing, near, quality, tokens, toxicity
+from millrace.llm import exact, leaks, licenses, mixing, near, quality, scoring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,6 +83,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near.clusters(table(spark, folder, "documents"))
 
 
+@query("op9_lm_scoring")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.score(table(spark, folder, "documents"))
+
+
 @query("op10_licenses")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact, leaks, licenses, mixing, near, quality, scoring, tokens, toxicity
+from millrace.llm import exact, leaks, licenses, mixing, near, quality, repeats, scoring, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,22 @@ def query(name: str, sql: str | None = None):
 BLANKS = r"[\x20\x09-\x0D]"
 
 
+@query(
+    "op1_substring_dedup",
+    rf"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANKS}+'), lambda x: x <> '') AS ws FROM documents),
+x AS (SELECT r, i, list_slice(ws, i, i + 34) AS win FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+d AS (SELECT r, i FROM x WHERE win IN (SELECT win FROM x GROUP BY win HAVING count(*) > 1)),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM d),
+s AS (SELECT r, list(p) AS gone FROM g GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN s USING (r)""",
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("removed")
+
+
 @query(
     "op2_exact_dedup",
     rf"""

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.semantics import col, quoted
-from millrace.llm.common import ALNUM, alnum_words, fresh, steps, text_bytes
+from millrace.functions.semantics import col
+from millrace.llm.common import ALNUM, alnum_words, steps, text_bytes
 from millrace.session import checkpoint_folder
 
 WINDOW = 10
@@ -126,6 +126,20 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
         yield block
 
 
+def _hits(docs: DataFrame, items: DataFrame, keep: list[str], limit: int) -> DataFrame:
+    """The columns ``keep`` as c0, c1 and so on, and what ``scan`` adds."""
+    spark = docs.sparkSession
+    names, text = [n for n, _ in _ADDED], "scanned_text"
+    rows = docs.select(*(col(c).alias(f"c{i}") for i, c in enumerate(keep)), text_bytes().alias(text))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + _RESULT
+    for number, block in enumerate(_blocks(items, limit)):
+        rows = _written(rows) if number else rows
+        rows = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, names, text), schema)
+    if names[0] not in rows.columns:  # no items at all
+        rows = rows.mapInArrow(_scanner(spark.sparkContext.broadcast([]), uuid.uuid4().hex, names, text), schema)
+    return rows.drop(text)
+
+
 def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, limit: int = BLOCK_BYTES) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all if None) and, for each row, n_words, n_hit, items, word_spans and char_spans.
 
@@ -136,18 +150,9 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, limit
     the rows are written to the shared folder in between, so that one automaton is held at a time.
     Columns of ``docs`` with the names of added ones are replaced.
     """
-    spark = docs.sparkSession
-    names = [n for n, _ in _ADDED]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    (text,) = fresh(docs, "scanned_text")
-    rows = docs.select(*(col(c) for c in kept), text_bytes().alias(text))
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + _RESULT
-    for number, block in enumerate(_blocks(items, limit)):
-        rows = _written(rows) if number else rows
-        rows = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(block), uuid.uuid4().hex, names, text), schema)
-    if set(names) - set(rows.columns):  # no items at all
-        rows = rows.mapInArrow(_scanner(spark.sparkContext.broadcast([]), uuid.uuid4().hex, names, text), schema)
-    return rows.drop(text)
+    added = [n for n, _ in _ADDED]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    return _hits(docs, items, kept, limit).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *added)
 
 
 def _written(rows: DataFrame) -> DataFrame:
@@ -169,6 +174,5 @@ def digest() -> list[Column]:
 
 def keep_clean(docs: DataFrame, items: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` without a hit, with their columns."""
-    clean = docs.select(*(col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)), col("text").alias("text"))
-    found = scan(clean, items, [f"doc_{i}" for i in range(len(docs.columns))], limit)
-    return found.where("n_hit = 0").select(*(col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    found = _hits(docs, items, docs.columns, limit).where("n_hit = 0")
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -12,7 +12,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -28,6 +28,8 @@ from millrace.llm.common import alnum_words, steps, text_bytes
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 8_000
 #: Terms that selection looks at, terms of the lexicon, and the fewest toxic texts of a term.
 CANDIDATES, TERMS, LEAST = 3_000, 400, 4
+#: Toxic texts that a clean one outweighs, and what a further term of a toxic text is worth after each that marks it.
+CLEAN_COST, AGAIN = 8, 0.6
 #: Lengths of word beginnings that may be terms.
 BEGINNINGS = range(3, 11)
 
@@ -45,37 +47,55 @@ HOMOGLYPHS = {
 MARKS = {"@": "a", "$": "s", "!": "i", "|": "i", "*": ""}
 
 
-def _folding() -> dict[int, str]:
-    """Small letters to the letter they look like; l, I and 1 look alike and become i."""
+def _folding(accents: bool) -> dict[int, str]:
+    """Letters to the small letter they look like, accents kept or not; l, I and 1 look alike and become i."""
     table = {}
     for code in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)):
-        base = unicodedata.normalize("NFKD", chr(code)).lower()
+        base = unicodedata.normalize("NFKC" if accents else "NFKD", chr(code)).lower()
         base = "".join(c for c in base if not unicodedata.combining(c))
         table[code] = "".join(HOMOGLYPHS.get(c, c) for c in base).replace("l", "i")
     table |= {ord(k): v for k, v in HOMOGLYPHS.items()}
-    table |= {0x300 + i: "" for i in range(0x70)} | {0xAD: "", 0x200B: "", 0x200C: "", 0x200D: ""}
-    return table
+    table |= {0xAD: "", 0x200B: "", 0x200C: "", 0x200D: ""}
+    return table if accents else table | {0x300 + i: "" for i in range(0x70)}
 
 
-_FOLD = _folding()
+_FOLD, _FOLD_ACCENTS = _folding(True), _folding(False)
 _MARKED = re.compile(r"(?<=[^\W_])[@$!|*](?=[^\W_])")
 
 
 def fold(text: bytes) -> list[bytes]:
-    """Folded words of a text."""
+    """Folded words of a text, with accents."""
     return alnum_words(text.decode("utf-8", "replace").translate(_FOLD).encode())
 
 
+def fold_accents(words: list[bytes]) -> list[bytes] | None:
+    """The words without accents, None if they have none."""
+    joined = b" ".join(words)
+    return None if joined.isascii() else alnum_words(joined.decode("utf-8", "replace").translate(_FOLD_ACCENTS).encode())
+
+
+def foldings(text: bytes) -> Iterator[list[bytes]]:
+    """Words of a text, folded; again without accents, and with marks as letters, where that differs."""
+    marked = fold_marks(text)
+    for variant in (text, *([] if marked is None else [marked])):
+        words = fold(variant)
+        yield words
+        plain = fold_accents(words)
+        if plain is not None:
+            yield plain
+
+
 def fold_marks(text: bytes) -> bytes | None:
     """The text with marks between letters turned into letters, None if it has none."""
     changed, n = _MARKED.subn(lambda m: MARKS[m[0]], text.decode("utf-8", "replace"))
     return changed.encode() if n else None
 
 
-def terms_of(words: Iterable[bytes]) -> set[bytes]:
+def terms_of(text: bytes) -> set[bytes]:
     """Words and word beginnings as the automaton meets them: a blank before, and one behind whole words."""
+    words = fold(text)
     out = set()
-    for word in set(words):
+    for word in {*words, *(fold_accents(words) or ())}:
         out.add(b" " + word + b" ")
         out.update(b" " + word[:k] for k in BEGINNINGS if k <= len(word))
     return out
@@ -118,8 +138,7 @@ class Lexicon:
     def measure(self, text: bytes) -> tuple[float, int, int]:
         """Sum of weights (of nested terms at one place the largest), matches, words."""
         best = (0.0, 0, 0)
-        marked = fold_marks(text)
-        for words in (fold(text), *([] if marked is None else [fold(marked)])):
+        for words in foldings(text):
             at: dict[int, float] = {}
             for start, _, weight in self.matches(words):
                 at[start] = max(weight, at.get(start, 0.0))
@@ -145,13 +164,17 @@ def held_out(parts: int, rest: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
-    """text and toxic of labelled rows that are not held out, of each kind so many at most."""
+    """text and toxic of labelled rows that are not held out, of each kind so many at most, without near copies."""
     known = labels.select(col("doc_id").cast("long").alias("doc_id"), col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(5, 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     take = lambda kind, n: known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     few = take(1, toxic_rows).unionByName(take(0, clean_rows))
     texts = docs.select(col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return texts.join(F.broadcast(few), "doc_id").select("text", "toxic")
+    texts = texts.join(F.broadcast(few), "doc_id")
+    # One of several near copies teaches: those with the same least name of two words in a row.
+    words = F.split(F.lower(F.col("text").cast("string")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    twos = F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.xxhash64(a, b))
+    return texts.withColumn("least", F.array_min(twos)).dropDuplicates(["toxic", "least"]).select("text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +189,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in steps(batches):
         for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-            counts[toxic].update(terms_of(fold(text)))
+            counts[toxic].update(terms_of(text))
         if len(counts[0]) + len(counts[1]) > 1_000_000:
             yield from out()
     yield from out()
@@ -176,40 +199,45 @@ def _held(terms: list[bytes]):
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {t: i for i, t in enumerate(terms)}
         for batch in steps(batches):
-            found = [sorted(place[t] for t in terms_of(fold(x)) if t in place) for x in batch["text"].to_pylist()]
+            found = [sorted(place[t] for t in terms_of(x) if t in place) for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
     return held
 
 
 def choose(terms: list[bytes], rows: list[tuple[int, list[int]]], most: int = TERMS) -> list[int]:
-    """Terms one by one, each the one that marks most further toxic texts for few clean ones.
+    """Terms one by one, each the one with the most toxic texts, of which ``CLEAN_COST`` go off for each clean one.
 
-    Of equal terms the longest comes first, then the smallest.
+    A toxic text counts for less the more of the terms before mark it, so that all terms of a text that
+    others have too come in, but not all words of one text. Of a word and its beginnings only
+    the first picked stays. Of equal terms the longest comes first, then the smallest.
     """
-    toxic: dict[int, set[int]] = {}
+    toxic: dict[int, list[int]] = {}
     clean = Counter()
     of_row = {}
     for r, (kind, found) in enumerate(rows):
         if kind:
             of_row[r] = found
             for t in found:
-                toxic.setdefault(t, set()).add(r)
+                toxic.setdefault(t, []).append(r)
         else:
             clean.update(found)
-    gain = {t: len(x) for t, x in toxic.items()}
+    worth = dict.fromkeys(of_row, 1.0)
+    gain = {t: len(x) - CLEAN_COST * clean[t] for t, x in toxic.items()}
     picked = []
     while len(picked) < most and gain:
-        t = max(gain, key=lambda t: (gain[t] - 8 * clean[t], len(terms[t]), [-c for c in terms[t]]))
-        if gain[t] - 8 * clean[t] < LEAST:
+        t = max(gain, key=lambda t: (round(gain[t], 6), len(terms[t]), [-c for c in terms[t]]))
+        if gain[t] < LEAST:
             break
         picked.append(t)
-        for r in list(toxic[t]):
+        for r in toxic[t]:
             for other in of_row[r]:
-                if r in toxic[other]:
-                    toxic[other].discard(r)
-                    gain[other] -= 1
-        gain.pop(t)
+                if other in gain:
+                    gain[other] -= worth[r] * (1 - AGAIN)
+            worth[r] *= AGAIN
+        word = terms[t].rstrip(b" ")
+        for other in [o for o in gain if terms[o].startswith(word) or word.startswith(terms[o].rstrip(b" "))]:
+            del gain[other]
     return picked
 
 
@@ -221,8 +249,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = EXCEPT
     """
     rows = sample(docs, labels, toxic_rows, clean_rows)
     counted = rows.mapInArrow(_counts, "term binary, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    telling = counted.where((F.col("toxic") >= LEAST) & (F.col("toxic") > 8 * F.col("clean")))
-    terms = [bytes(r["term"]) for r in telling.orderBy(F.desc(F.col("toxic") - 8 * F.col("clean")), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()]
+    telling = counted.where((F.col("toxic") >= LEAST) & (F.col("toxic") > CLEAN_COST * F.col("clean")))
+    terms = [bytes(r["term"]) for r in telling.orderBy(F.desc(F.col("toxic") - CLEAN_COST * F.col("clean")), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()]
     if not terms:
         return Lexicon({}, exceptions)
     found = [(r["toxic"], r["found"]) for r in rows.mapInArrow(_held(terms), "toxic int, found array<int>").collect()]

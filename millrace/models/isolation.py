@@ -119,9 +119,9 @@ def fit_forest(df: DataFrame, features: Sequence[str], trees: int = TREES, sampl
 def score_rows(df: DataFrame, features: Sequence[str], contamination: float = 0.1, seed: int = 42) -> tuple[DataFrame, float]:
     """Rows with ``anomaly_score``, and the score above which the given share of them lies."""
     forest = fit_forest(df, features, seed=seed)
-    scored = cut_lineage(df.withColumn("anomaly_score", forest.score()))
-    limit = exact_quantiles(scored, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
-    return scored, limit
+    scores = cut_lineage(df.select(forest.score().alias("anomaly_score")))
+    limit = exact_quantiles(scores, ["anomaly_score"], [1 - contamination])["anomaly_score"][0]
+    return df.withColumn("anomaly_score", forest.score()), limit
 
 
 def detect(df: DataFrame, features: Sequence[str], contamination: float = 0.1, seed: int = 42) -> DataFrame:
@@ -136,10 +136,10 @@ def clip_isolated(df: DataFrame, columns: Sequence[str] | None = None, contamina
     if not columns:
         return df
     forests = {f"__score_{c}": fit_forest(df, [c], seed=seed) for c in columns if df.where(col(c).isNotNull()).limit(1).count()}
-    scored = cut_lineage(df.withColumns({n: f.score() for n, f in forests.items()}))
-    rows = scored.count()
-    limits = exact_quantiles(scored, list(forests), [1 - contamination], rows)
-    caps = exact_quantiles(scored, columns, [0.05, 0.95], rows)
+    scores = cut_lineage(df.select(*[f.score().alias(n) for n, f in forests.items()])) if forests else df
+    limits = exact_quantiles(scores, list(forests), [1 - contamination])
+    caps = exact_quantiles(df, columns, [0.05, 0.95])
+    scored = df.withColumns({n: f.score() for n, f in forests.items()})
     fixed = {}
     for c in columns:
         name = f"__score_{c}"

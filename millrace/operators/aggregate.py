@@ -78,7 +78,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles and max per numeric column."""
     columns = list(columns or numeric_columns(df))
     m = moments(df, columns, DESCRIBE)
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75], m[""]["rows"])
+    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     table = [
         (c, m[c]["count"], m[c]["mean"], m[c]["std"], _float(m[c]["min"]), *q[c], _float(m[c]["max"])) for c in columns
     ]
@@ -129,7 +129,7 @@ def distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """Mean, median, std, skewness and kurtosis per numeric column."""
     columns = list(columns or numeric_columns(df))
     m = moments(df, columns, ["mean", "std", "skew", "kurt"])
-    q = exact_quantiles(df, columns, [0.5], m[""]["rows"])
+    q = exact_quantiles(df, columns, [0.5])
     table = [(c, m[c]["mean"], q[c][0], m[c]["std"], m[c]["skew"], m[c]["kurt"]) for c in columns]
     return small_table(
         df.sparkSession, table, "column string, mean double, median double, std double, skewness double, kurtosis double"
@@ -144,11 +144,10 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
 
 def median_absolute_deviation(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
     """``{column: (median, mad)}``: one pass for the medians, one for the deviations."""
-    rows = df.count()
-    medians = exact_quantiles(df, columns, [0.5], rows)
+    medians = exact_quantiles(df, columns, [0.5])
     known = [c for c in columns if medians[c][0] is not None]
     deviations = df.select(*[F.abs(col(c) - F.lit(medians[c][0])).alias(c) for c in known])
-    mads = exact_quantiles(deviations, known, [0.5], rows) if known else {}
+    mads = exact_quantiles(deviations, known, [0.5]) if known else {}
     return {c: (medians[c][0], mads.get(c, [None])[0]) for c in columns}
 
 

@@ -69,12 +69,12 @@ def fit_median_or_mode(df: DataFrame) -> dict:
 
 def fit_smart(df: DataFrame, auto_detect: bool = True) -> dict:
     """Mode for text; for numbers the median if |skewness| > 1 (or always, without detection), else the mean."""
-    gaps, _, rows = with_nulls(df)
+    gaps, _, _ = with_nulls(df)
     numbers = [c for c in gaps if c in set(numeric_columns(df))]
     values = {}
     if numbers:
         m = moments(df, numbers, ["mean", "skew"])
-        middle = exact_quantiles(df, numbers, [0.5], rows)
+        middle = exact_quantiles(df, numbers, [0.5])
         for c in numbers:
             skewed = not auto_detect or (m[c]["skew"] is not None and abs(m[c]["skew"]) > 1)
             values[c] = middle[c][0] if skewed else m[c]["mean"]

@@ -155,7 +155,7 @@ def wide_cap(df: DataFrame, factor: float = 3.0) -> DataFrame:
 
 def range_facts(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, dict]:
     """Outlier counts at 1.5 IQR and far values at 5 IQR; both are zero without spread."""
-    quartiles = exact_quantiles(df, columns, [0.25, 0.75], rows)
+    quartiles = exact_quantiles(df, columns, [0.25, 0.75])
     exprs, spread = [], {}
     for i, c in enumerate(columns):
         q1, q3 = quartiles[c]

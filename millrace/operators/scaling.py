@@ -58,7 +58,7 @@ def fit(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, Scaler]
     if method in ("quantile_uniform", "quantile_normal"):
         n = df.count()
         size = max(2, min(MAX_QUANTILES, n))
-        q = exact_quantiles(df, columns, [i / (size - 1) for i in range(size)], n)
+        q = exact_quantiles(df, columns, [i / (size - 1) for i in range(size)])
         return {c: Scaler(c, method, quantiles=tuple(q[c])) for c in columns if q[c][0] is not None}
     raise ValueError(f"unknown scaler {method!r}")
 

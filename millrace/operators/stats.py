@@ -20,10 +20,6 @@ from pyspark.sql import types as T
 from millrace.functions.semantics import INTEGRAL, col, sample_kurtosis, sample_skewness
 from millrace.operators.ordering import CHUNK, _over_chunks, with_chunks
 
-#: Up to this many rows the built-in exact percentile (a value -> count map in one task) is used.
-EXACT_ROWS = 100_000
-#: With more quantiles than this per column, their ranks are looked up in histograms at any size.
-MANY_PROBS = 50
 #: Histogram rows per scan of ``order_statistics``.
 BINS_PER_SCAN = 65_536
 #: Aggregate expressions per job. The JVM does not compile methods beyond a size a few dozen
@@ -147,13 +143,14 @@ def modes(df: DataFrame, columns: Sequence[str]) -> dict:
 def order_statistics(
     df: DataFrame, wanted: dict[str, set[int]], ends: dict[str, tuple[float, float, int]]
 ) -> dict[tuple[str, int], float]:
-    """Exact values at given ranks (from 0) of numeric columns, by refining histograms.
+    """Exact values at given ranks (from 0) of the finite values of numeric columns, by refining histograms.
 
-    ``ends`` holds min, max and count per column. The first scan counts all columns in equal-width
+    ``ends`` holds min, max and count of them per column. The first scan counts all columns in equal-width
     bins and keeps the smallest and largest value of each; a rank is found once its bin holds one
     value. Later scans look only into the bins that still hide a rank (a broadcast of at most one
     row per rank). Counts combine before the shuffle and the driver sees at most BINS_PER_SCAN
-    rows. Three scans for a million values, five for 10^12.
+    rows. Three scans for a million values, five for 10^12. The smallest and the largest value of a
+    bin never share a bin of the next scan, so every scan gets on and the search ends.
     """
     found: dict[tuple[str, int], float] = {}
     names, searched = [], {}
@@ -170,9 +167,9 @@ def order_statistics(
     first = max(64, min(4096, BINS_PER_SCAN // len(names)))
     pairs = [F.struct(F.lit(i).alias("c"), col(c).cast("double").alias("v")) for i, c in enumerate(names)]
     lows = F.array(*[F.lit(float(ends[c][0])) for c in names])
-    widths = F.array(*[F.lit(float(ends[c][1]) - float(ends[c][0])) for c in names])
+    widths = F.array(*[F.lit(float(ends[c][1]) / 2 - float(ends[c][0]) / 2) for c in names])
     values = (
-        df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(F.col("v").isNotNull())
+        df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where(_finite(F.col("v")))
         .withColumn("b", _bin(F.col("v"), F.get(lows, F.col("c")), F.get(widths, F.col("c")), first))
     )
     counted = [F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
@@ -185,7 +182,7 @@ def order_statistics(
     while spans:
         bins = max(2, min(1024, BINS_PER_SCAN // len(spans)))
         table = spark.createDataFrame(
-            [(k, c, b, low, high - low, high) for k, (c, b, low, high, _, _) in enumerate(spans)],
+            [(k, c, b, low, high / 2 - low / 2, high) for k, (c, b, low, high, _, _) in enumerate(spans)],
             "span int, c int, b int, low double, width double, high double",
         )
         inside = values.join(F.broadcast(table), ["c", "b"]).where("v BETWEEN low AND high")
@@ -201,8 +198,15 @@ def order_statistics(
     return found
 
 
+def _finite(v: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return v.between(F.lit(-1.7976931348623157e308), F.lit(1.7976931348623157e308))
+
+
 def _bin(v: Column, low: Column, width: Column, bins: int) -> Column:
-    return F.least(F.floor((v - low) / width * bins), F.lit(bins - 1)).cast("int")
+    """The bin from 0; ``width`` is half of high - low, which may be too large for a double or too small to halve."""
+    equal = F.least(F.floor((v / 2 - low / 2) / width * bins), F.lit(bins - 1))
+    return F.when(width > 0, equal).otherwise((v > low).cast("long")).cast("int")
 
 
 def _hits(found: dict, name: str, rows: list, at: int, ranks: set[int]):
@@ -223,52 +227,53 @@ def _hits(found: dict, name: str, rows: list, at: int, ranks: set[int]):
         at = last + 1
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], rows: int | None = None
-) -> dict[str, list]:
-    """Linearly interpolated quantiles of whole columns, exact at any size."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
+    """Linearly interpolated quantiles of whole columns, exact and by one way at any size.
+
+    NaN counts as null. Infinities come before and behind all other values; between an infinite and
+    another value the quantile is infinite. A column without values gets None.
+    """
     columns = list(columns)
     if not columns:
         return {}
-    rows = df.count() if rows is None else rows
-    if rows <= EXACT_ROWS and len(probs) <= MANY_PROBS:
-        exprs = [
-            F.percentile(col(c).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias(f"q{i}")
-            for i, c in enumerate(columns)
+    exprs = []
+    for i, c in enumerate(columns):
+        v = col(c).cast("double")
+        inside = F.when(_finite(v), v)
+        exprs += [
+            F.min(inside).alias(f"lo{i}"),
+            F.max(inside).alias(f"hi{i}"),
+            F.count(inside).alias(f"n{i}"),
+            F.count_if(v == float("-inf")).alias(f"below{i}"),
+            F.count_if(v == float("inf")).alias(f"above{i}"),
         ]
-        got = aggregate_in_jobs(df, exprs)
-        return {c: got[f"q{i}"] or [None] * len(probs) for i, c in enumerate(columns)}
-    facts = aggregate_in_jobs(
-        df,
-        [
-            e
-            for i, c in enumerate(columns)
-            for e in (
-                F.min(col(c)).cast("double").alias(f"lo{i}"),
-                F.max(col(c)).cast("double").alias(f"hi{i}"),
-                F.count(col(c)).alias(f"n{i}"),
-            )
-        ],
-    )
-    ends = {c: (facts[f"lo{i}"], facts[f"hi{i}"], facts[f"n{i}"]) for i, c in enumerate(columns)}
-    wanted = {}
-    for c in columns:
-        n = ends[c][2]
-        ranks = {k for p in probs for k in (int((n - 1) * p), min(int((n - 1) * p) + 1, n - 1))}
+    facts = aggregate_in_jobs(df, exprs)
+    ends, parts, wanted = {}, {}, {}
+    for i, c in enumerate(columns):
+        n = facts[f"n{i}"]
+        ends[c] = (facts[f"lo{i}"], facts[f"hi{i}"], n)
+        parts[c] = (facts[f"below{i}"] or 0, n, (facts[f"below{i}"] or 0) + n + (facts[f"above{i}"] or 0))
+        below, _, total = parts[c]
+        ranks = {k for p in probs for k in (int((total - 1) * p), min(int((total - 1) * p) + 1, total - 1))}
         if n:
-            wanted[c] = ranks
+            wanted[c] = {k - below for k in ranks if below <= k < below + n}
     found = order_statistics(df, wanted, ends)
+
+    def at_rank(c: str, k: int) -> float:
+        below, n, _ = parts[c]
+        return float("-inf") if k < below else found[c, k - below] if k < below + n else float("inf")
+
     out = {}
     for c in columns:
-        n = ends[c][2]
+        total = parts[c][2]
         values = []
         for p in probs:
-            if not n:
+            if not total:
                 values.append(None)
                 continue
-            at = (n - 1) * p
-            low, high = found[c, int(at)], found[c, min(int(at) + 1, n - 1)]
-            values.append(low + (high - low) * (at - int(at)))
+            at = (total - 1) * p
+            low, high = at_rank(c, int(at)), at_rank(c, min(int(at) + 1, total - 1))
+            values.append(low if low == high or at == int(at) else low + (high - low) * (at - int(at)))
         out[c] = values
     return out
 
@@ -278,19 +283,16 @@ def grouped_quantiles(
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
-    rows: int | None = None,
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, one output column per entry of ``probs``.
 
-    Small inputs use the built-in percentile. Beyond that, equal values are counted before
-    the shuffle, the (group, value) order is numbered across chunks, and each group keeps
-    the two values around every wanted rank: no group has to fit in one task.
+    Equal values are counted before the shuffle, the (group, value) order is numbered across
+    chunks, and each group keeps the two values around every wanted rank: no group has to fit in
+    one task. NaN counts as null; infinities come first and last.
     """
-    data = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    rows = df.count() if rows is None else rows
-    if rows <= EXACT_ROWS and rows_per_chunk is None:
-        return data.groupBy(*keys).agg(*[F.percentile("__v", F.lit(p)).alias(n) for n, p in probs.items()])
+    data = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
+    data = data.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     counts = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     chunked, chunks = with_chunks(counts, keys, ["__v"], rows_per_chunk)
     order = [col(k) for k in [*keys, "__v"]]
@@ -312,5 +314,6 @@ def grouped_quantiles(
         high_rank = F.least(low_rank + 1, F.col("__size") - 1)
         covers = lambda r: (F.col("__upto") - F.col("__n") <= r) & (r < F.col("__upto"))
         low, high = F.max(F.when(covers(low_rank), F.col("__v"))), F.max(F.when(covers(high_rank), F.col("__v")))
-        outs.append((low + (high - low) * F.max(at - low_rank)).alias(n))
+        part = F.max(at - low_rank)
+        outs.append(F.when((low == high) | (part == 0), low).otherwise(low + (high - low) * part).alias(n))
     return both.groupBy(*keys).agg(*outs)

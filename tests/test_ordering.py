@@ -56,17 +56,48 @@ def test_position_sum_average(spark, frame, size):
         np.testing.assert_allclose(got, roll.to_numpy(), atol=1e-9)
 
 
-def test_quantiles_beyond_the_builtin(spark, frame, monkeypatch):
-    df = load(spark, frame)
+@pytest.mark.parametrize("bins", [65536, 40])
+def test_quantiles(spark, frame, monkeypatch, bins):
     probs = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
-    want = {c: frame[c].quantile(probs).tolist() for c in ("v", "w")}
-    assert np.allclose(stats.exact_quantiles(df, ["v", "w"], probs)["v"], want["v"])
-    monkeypatch.setattr(stats, "EXACT_ROWS", 10)
-    for bins in (65536, 40):
-        monkeypatch.setattr(stats, "BINS_PER_SCAN", bins)
-        got = stats.exact_quantiles(df, ["v", "w"], probs)
-        for c in want:
-            np.testing.assert_allclose(got[c], want[c])
+    monkeypatch.setattr(stats, "BINS_PER_SCAN", bins)
+    got = stats.exact_quantiles(load(spark, frame), ["v", "w"], probs)
+    for c in ("v", "w"):
+        np.testing.assert_allclose(got[c], frame[c].quantile(probs))
+
+
+@pytest.mark.parametrize("bins", [65536, 2])
+def test_quantiles_of_odd_values(spark, monkeypatch, bins):
+    """NaN counts as null, infinities come first and last; doubles of any size end the search."""
+    monkeypatch.setattr(stats, "BINS_PER_SCAN", bins)
+    inf, nan = float("inf"), float("nan")
+    columns = {
+        "odd": [nan, inf, -inf, 1.0, 2.0, None, 3.0, inf],
+        "huge": [-1.7e308, 1.7e308, 0.0, 1e300, -1e300, 5.0, None, nan],
+        "tiny": [5e-324 * k for k in range(8)],
+        "none": [nan, None] * 4,
+        "ends": [inf, -inf] * 4,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    probs = [0.0, 0.2, 0.5, 1.0]
+    got = stats.exact_quantiles(df, list(columns), probs)
+    for c, values in columns.items():
+        known = sorted(v for v in values if v is not None and v == v)
+        for p, q in zip(probs, got[c]):
+            at = (len(known) - 1) * p
+            if not known:
+                assert q is None
+                continue
+            low, high = known[int(at)], known[min(int(at) + 1, len(known) - 1)]
+            want = low if low == high or at == int(at) else low + (high - low) * (at - int(at))
+            assert q == want or (q != q and want != want), (c, p, q, want)
+
+
+def test_grouped_quantiles_with_a_hot_group_and_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("hot", float(i % 700)) for i in range(3000)] + [("few", v) for v in (nan, inf, 1.0, 2.0, None)] + [(None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    got = {r["g"]: r["m"] for r in stats.grouped_quantiles(df, ["g"], "v", {"m": 0.5}, rows_per_chunk=50).collect()}
+    assert got == {"hot": float(np.median([i % 700 for i in range(3000)])), "few": 2.0, None: 4.0}
 
 
 @pytest.mark.parametrize("size", [None, 20])

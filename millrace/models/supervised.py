@@ -5,13 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
+from operator import and_
 from random import Random
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +51,12 @@ class Trained:
     seconds: float = 0.0
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``prediction`` (the class name for classifiers) and ``probability`` where known."""
+        """``df`` with ``prediction`` (the class name for classifiers) and ``probability`` where known.
+
+        A row with a gap in a number keeps its place, with nulls for both.
+        """
         out = self.model.transform(df)
+        whole = complete(df, self.features)
         extra = [c for c in out.columns if c not in df.columns and c not in ("prediction", "probability")]
         if self.labels:
             names = F.array(*[F.lit(v) for v in self.labels])
@@ -58,7 +64,8 @@ class Trained:
             if "probability" in out.columns:
                 kind = dict(out.dtypes)["probability"]
                 out = out if kind.startswith("array") else out.withColumn("probability", vector_to_array("probability"))
-        return out.drop(*extra)
+        told = [c for c in ("prediction", "probability") if c in out.columns and c not in df.columns]
+        return out.withColumns({c: F.when(whole, F.col(c)) for c in told}).drop(*extra)
 
     def importances(self) -> DataFrame:
         """(feature, score): importance per input column, one-hot columns added up."""
@@ -80,18 +87,10 @@ class Trained:
 
 
 def _slots(model: PipelineModel) -> list[tuple[str, int]]:
-    encoders = {}
-    for stage in model.stages:
-        if hasattr(stage, "categorySizes"):
-            drop = 1 if stage.getDropLast() else 0
-            for name, size in zip(stage.getInputCols(), stage.categorySizes):
-                encoders[name] = size - drop
+    """Each feature with its places in the assembled vector; a text of one category has none."""
+    kept = {s.getOutputCol(): len(s.getIndices()) for s in model.stages if isinstance(s, VectorSlicer)}
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
-    out = []
-    for name in assembler.getInputCols():
-        base = name.removeprefix("__hot_").removeprefix("__num_")
-        out.append((base, encoders.get(f"__idx_{base}", 1) if name.startswith("__hot_") else 1))
-    return out
+    return [(name.removeprefix("__hot_"), kept.get(name, 1)) for name in assembler.getInputCols()]
 
 
 #: name -> (classifier, regressor, default parameters)
@@ -143,22 +142,36 @@ def prepare(df: DataFrame, config: Config) -> DataFrame:
 
 
 def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
-    """Index and one-hot (first category dropped) the text columns, then assemble everything.
+    """Index and one-hot the text columns, fitted on ``df``, then assemble everything.
 
-    Categories are in alphabetic order, descending, so that the dropped last one is the first.
+    Of k categories k - 1 get a place; the first in alphabetic order, a null and a category that
+    was not seen have zeros there. A gap in a number becomes NaN in the vector, so no row is lost.
     """
     numbers = set(numeric_columns(df))
     texts = [f for f in features if f not in numbers]
-    stages = []
+    stages, hot = [], set()
     if texts:
         idx = [f"__idx_{t}" for t in texts]
-        stages.append(StringIndexer(inputCols=texts, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetDesc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=[f"__hot_{t}" for t in texts], dropLast=True, handleInvalid="keep"))
-    inputs = [f"__hot_{f}" if f in texts else f for f in features]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="skip"))
+        indexer = StringIndexer(inputCols=texts, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetDesc").fit(df)
+        stages.append(indexer)
+        sizes = {t: len(labels) for t, labels in zip(texts, indexer.labelsArray)}
+        hot = {t for t in texts if sizes[t] > 1}
+        if hot:
+            some = [t for t in texts if t in hot]
+            stages.append(OneHotEncoder(inputCols=[f"__idx_{t}" for t in some], outputCols=[f"__all_{t}" for t in some], dropLast=False, handleInvalid="error"))
+            # The order is descending: the first category is the last but one, the unseen ones are last.
+            stages += [VectorSlicer(inputCol=f"__all_{t}", outputCol=f"__hot_{t}", indices=list(range(sizes[t] - 1))) for t in some]
+    inputs = [f"__hot_{f}" if f in hot else f for f in features if f in hot or f in numbers]
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="__features", handleInvalid="keep"))
     return stages
 
 
+def complete(df: DataFrame, features: Sequence[str]):
+    """Whether no number among the features is missing; texts have a place for that."""
+    known = [col(f).isNotNull() & ~F.isnan(col(f).cast("double")) for f in features if f in set(numeric_columns(df))]
+    return reduce(and_, known, F.lit(True))
+
+
 def estimator(name: str, task: str, classes: int, width: int, params: dict | None = None):
     name = ALIASES.get(name, name)
     classifier, regressor, defaults = ALGORITHMS[name]
@@ -191,7 +204,7 @@ def train(
         data = df.withColumn("__label", (F.array_position(names, col(target).cast("string")) - 1).cast("double"))
     else:
         data = df.withColumn("__label", col(target).cast("double"))
-    data = data.where(F.col("__label").isNotNull())
+    data = data.where(F.col("__label").isNotNull() & complete(df, features))
     if algorithm in OWN:
         from millrace.models import special
 
@@ -358,10 +371,19 @@ def tune(
     if labels:
         label = (F.array_position(F.array(*[F.lit(v) for v in labels]), col(target).cast("string")) - 1).cast("double")
     data = with_folds(df, cv, key).withColumn("__label", label)
+    data = data.where(F.col("__label").isNotNull() & complete(df, features))
     pre = Pipeline(stages=feature_stages(df, features)).fit(data)
     ready = pre.transform(data).select("__features", "__label", F.col("fold"))
-    est = estimator(algorithm, task, len(labels or []), 0)
-    maps = [{est.getParam(k): v for k, v in c.items()} for c in combos]
+    width = 0
+    if algorithm == "mlp":
+        first = ready.first()
+        width = first["__features"].size if first else 0
+        given = {tuple(c["layers"]) if "layers" in c else None for c in combos}
+        if given - {None}:  # hidden layers; the ends are those of the data
+            combos = [{**c, "layers": [width, *c["layers"], len(labels or [])]} if "layers" in c else c for c in combos]
+    est = estimator(algorithm, task, len(labels or []), width)
+    inner = est.getClassifier() if isinstance(est, C.OneVsRest) else est
+    maps = [{inner.getParam(k): v for k, v in c.items()} for c in combos]
     if labels:
         judge = MulticlassClassificationEvaluator(labelCol="__label", metricName="accuracy")
     else:

@@ -62,7 +62,10 @@ def f_scores(df: DataFrame, features: Sequence[str], target: str, task: str) ->
     got = known.groupBy(col(target)).agg(*first).agg(*second).first()
     rows = []
     for i, f in enumerate(features):
-        n, k = got[f"n{i}"], got[f"k{i}"]
+        n, k = got[f"n{i}"] or 0, got[f"k{i}"] or 0
+        if k < 2 or n <= k:  # an empty table, one class, or a row for each class: no score
+            rows.append((f, None))
+            continue
         total = got[f"s{i}"] ** 2 / n
         between, within = got[f"b{i}"] - total, got[f"q{i}"] - got[f"b{i}"]
         rows.append((f, (between / (k - 1)) / (within / (n - k)) if within > 0 else float("inf")))

@@ -110,7 +110,7 @@ class Boosted:
 
 
 def fit_adaboost(data: DataFrame, features: Sequence[str], classes: int, rounds: int = 20, depth: int = 1, rate: float = 1.0) -> Boosted:
-    assembler = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")]).fit(data)
+    assembler = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep")]).fit(data)
     rows = cut_lineage(assembler.transform(data).select("__features", "__label", F.lit(1.0).alias("__w")))
     trees, weights = [], []
     for i in range(rounds):

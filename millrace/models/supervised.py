@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col, numeric_columns, small_table
-from millrace.models import evaluate
+from millrace.models import evaluate, store
 from millrace.operators.sampling import split, stratified_split, with_folds
 
 ROW = "__row"
@@ -166,6 +166,29 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> list:
     return stages
 
 
+def _spread(pre: PipelineModel, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with each place of the assembled vector as a column."""
+    out = pre.transform(df)
+    n = sum(size for _, size in _slots(pre))
+    names = [f"__f{i}" for i in range(n)]
+    values = vector_to_array(F.col("__features"))
+    out = out.withColumns({c: F.get(values, F.lit(i)) for i, c in enumerate(names)})
+    return out.select(*[col(c) for c in df.columns], *names), names
+
+
+@dataclass
+class Encoded:
+    """A model of this package behind the encoding of text features."""
+
+    pre: PipelineModel
+    names: list[str]
+    inner: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        coded, _ = _spread(self.pre, df)
+        return self.inner.transform(coded).drop(*self.names)
+
+
 def complete(df: DataFrame, features: Sequence[str]):
     """Whether no number among the features is missing; texts have a place for that."""
     known = [col(f).isNotNull() & ~F.isnan(col(f).cast("double")) for f in features if f in set(numeric_columns(df))]
@@ -208,7 +231,12 @@ def train(
     if algorithm in OWN:
         from millrace.models import special
 
-        model = special.fit(algorithm, data, features, labels, params or {})
+        if set(features) <= set(numeric_columns(df)):
+            model = special.fit(algorithm, data, features, labels, params or {})
+        else:
+            pre = Pipeline(stages=feature_stages(df, features)).fit(data)
+            coded, names = _spread(pre, data)
+            model = Encoded(pre, names, special.fit(algorithm, coded, names, labels, params or {}))
     else:
         pre = Pipeline(stages=feature_stages(df, features)).fit(data)
         width = 0
@@ -397,13 +425,18 @@ def tune(
     return Trained(algorithm, task, target, features, labels, model, {"score": max(search.avgMetrics)}), table
 
 
-def score_saved(path: str, df: DataFrame) -> DataFrame:
-    """Batch scoring with a saved pipeline."""
-    return PipelineModel.load(path).transform(df)
+def save_model(trained: Trained, path: str) -> None:
+    """Write a trained model of any kind, with its labels and metrics."""
+    store.save(trained, path)
 
 
-def save_model(trained: Trained, path: str) -> None:
-    trained.model.write().overwrite().save(path)
+def load_model(spark: SparkSession, path: str) -> Trained:
+    return store.load(spark, path)
+
+
+def score_saved(path: str, df: DataFrame) -> DataFrame:
+    """Batch scoring with a saved model; classes by name, as ``predict``."""
+    return load_model(df.sparkSession, path).predict(df)
 
 
 # --- ensembles --------------------------------------------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -17,23 +19,30 @@ from millrace.session import cut_lineage
 
 
 def vectors(df: DataFrame, features: Sequence[str], name: str = "__features") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="skip").transform(df)
+    """All rows with their features as a vector; gaps become NaN."""
+    return VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="keep").transform(df)
+
+
+def whole(features: Sequence[str]) -> Column:
+    """Whether a row has all its features. Others are not fitted on and get a null result."""
+    return reduce(and_, [col(f).isNotNull() & ~F.isnan(col(f).cast("double")) for f in features])
 
 
 def kmeans(df: DataFrame, features: Sequence[str], k: int = 3, seed: int = 42) -> tuple[DataFrame, object]:
     """Rows with ``cluster``, and the fitted model."""
     data = vectors(df, features)
-    model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster").fit(data)
-    return model.transform(data).drop("__features"), model
+    model = KMeans(k=k, seed=seed, featuresCol="__features", predictionCol="cluster").fit(data.where(whole(features)))
+    return model.transform(data).withColumn("cluster", F.when(whole(features), F.col("cluster"))).drop("__features"), model
 
 
 def principal_components(df: DataFrame, features: Sequence[str], k: int, scale: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows with ``pc1..pck`` (centred), and the explained variance ratio per component."""
     data = vectors(df, features)
-    centred = StandardScaler(inputCol="__features", outputCol="__centred", withMean=True, withStd=scale).fit(data).transform(data)
-    model = PCA(k=k, inputCol="__centred", outputCol="__pc").fit(centred)
+    known = data.where(whole(features))
+    centred = StandardScaler(inputCol="__features", outputCol="__centred", withMean=True, withStd=scale).fit(known).transform(data)
+    model = PCA(k=k, inputCol="__centred", outputCol="__pc").fit(centred.where(whole(features)))
     parts = vector_to_array(F.col("__pc"))
-    out = model.transform(centred).withColumns({f"pc{i + 1}": F.get(parts, F.lit(i)) for i in range(k)})
+    out = model.transform(centred).withColumns({f"pc{i + 1}": F.when(whole(features), F.get(parts, F.lit(i))) for i in range(k)})
     ratio = [(i + 1, float(v)) for i, v in enumerate(model.explainedVariance.toArray())]
     return out.drop("__features", "__centred", "__pc"), small_table(df.sparkSession, ratio, "component int, explained double")
 
@@ -54,7 +63,7 @@ def _within(a: str, b: str, d: int, eps: float) -> Column:
 
 
 def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_rows: int = 5) -> DataFrame:
-    """Rows with ``cluster`` (from 0 by size of its smallest cell, -1 for noise); at most four features.
+    """Rows with ``cluster`` (from 0 by size of its smallest cell, -1 for noise, null with a gap); at most four features.
 
     Space is cut into cells of diameter ``eps``, so rows of one cell are all neighbours. A cell with
     ``min_rows`` rows is dense: all its rows are core, without comparing any. Only rows of thin cells
@@ -67,7 +76,7 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_rows: i
         raise ValueError("grid density clusters take one to four features")
     side = eps / np.sqrt(d) * (1 - 1e-12)
     x = F.array(*[col(f).cast("double") + F.lit(0.0) for f in features])
-    complete = df.dropna(subset=list(features))
+    complete = df.where(whole(features))
     points = complete.select(x.alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("w"))
     points = cut_lineage(points.withColumn("cell", F.transform("x", lambda v: F.floor(v / F.lit(side)))))
     cells = points.groupBy("cell").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("kinds"))
@@ -120,7 +129,8 @@ def dbscan(df: DataFrame, features: Sequence[str], eps: float = 0.5, min_rows: i
     )
     found = core_rows.unionByName(edge).select(F.col("x").alias("__x"), "cluster")
     out = complete.withColumn("__k", x).join(found, F.col("__k") == F.col("__x"), "left")
-    return out.withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("int")).drop("__k", "__x")
+    out = out.withColumn("cluster", F.coalesce("cluster", F.lit(-1)).cast("int")).drop("__k", "__x")
+    return out.unionByName(df.where(~whole(features)).withColumn("cluster", F.lit(None).cast("int")))
 
 
 def _dense_links(rows: DataFrame, around: Column, side: float, eps: float, d: int) -> DataFrame:
@@ -173,7 +183,7 @@ def _dense_links(rows: DataFrame, around: Column, side: float, eps: float, d: in
         level += 1
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``(cell, label)``: label is the smallest cell of the connected component.
 
     Every round takes the smallest label among neighbours and then the label's own label, which
@@ -181,7 +191,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 200) -> DataFra
     """
     both = cut_lineage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select("cell", F.col("cell").alias("label")))
-    for _ in range(rounds):
+    while True:
         # neighbours with one label say the same thing, so each label goes out once per node
         offered = both.join(labels.select(F.col("cell").alias("a"), "label"), "a").select(F.col("b").alias("cell"), "label")
         best = labels.unionByName(offered).groupBy("cell").agg(F.min("label").alias("label"))
@@ -192,4 +202,3 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 200) -> DataFra
         labels = step.select("cell", F.col("new").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")

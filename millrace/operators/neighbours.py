@@ -336,11 +336,13 @@ def knn_impute(df: DataFrame, columns: Sequence[str], k: int = 5, cell_rows: int
     )
     per_row = short.join(filled, "q").select(F.col("x").alias("__x"), "__fill")
     means = df.agg(*[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    out = df.withColumn("__q", F.when(gaps, x)).join(per_row, F.col("__q") == F.col("__x"), "left")
+    # Only rows with a gap meet the answers; the others go on as they are, without a shuffle.
+    whole = df.where(~gaps).withColumns({c: col(c).cast("double") for c in columns})
+    out = df.where(gaps).withColumn("__q", x).join(per_row, F.col("__q") == F.col("__x"), "left")
     fill = {
         c: F.coalesce(col(c).cast("double"), F.col("__fill")[i], F.lit(means[f"m{i}"])) for i, c in enumerate(columns)
     }
-    return out.withColumns(fill).select(*[col(c) for c in df.columns])
+    return whole.unionByName(out.withColumns(fill).select(*[col(c) for c in df.columns]))
 
 
 def knn_predict(

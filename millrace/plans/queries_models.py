@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millrace.models import evaluate, interpret, isolation, linear, supervised, unsupervised
@@ -9,6 +11,7 @@ from millrace.operators import missing, neighbours, selection
 from millrace.plans import compose
 from millrace.plans.catalog import query, r, union_all
 from millrace.plans.queries_basic import DOUBLED, GAPPY, NUMBERS, doubled, gappy
+from millrace.session import checkpoint_folder
 
 # --- feature selection ------------------------------------------------------------------------
 
@@ -315,7 +318,9 @@ def _(t):
 @query("l23_batch_scoring", f"SELECT l_orderkey, l_linenumber, {r('(SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem) + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity', 2)} AS prediction FROM lineitem", digits=2)
 def _(t):
     fitted = supervised.train(t.lineitem.select("l_quantity", "l_extendedprice"), "l_extendedprice", "linear_regression", "regression", ["l_quantity"])
-    return fitted.predict(t.lineitem).select("l_orderkey", "l_linenumber", "prediction")
+    path = f"{checkpoint_folder(t.spark)}/model-{uuid.uuid4().hex}"
+    supervised.save_model(fitted, path)
+    return supervised.score_saved(path, t.lineitem).select("l_orderkey", "l_linenumber", "prediction")
 
 
 @query(

@@ -423,11 +423,11 @@ def _(t):
 
 @query(
     "s7_documents",
-    "SELECT CAST(doc_id AS VARCHAR) AS _id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1' LIMIT 10000",
+    "SELECT CAST(doc_id AS VARCHAR) AS _id, lang, source FROM documents WHERE lang = 'en' AND source = 'src1'",
 )
 def _(t):
     source = t.documents.select(F.col("doc_id").alias("_id"), "lang", "source")
-    return readers.documents(source, json.dumps({"lang": "en", "source": "src1"}), 10_000)
+    return readers.documents(source, json.dumps({"lang": "en", "source": "src1"}))
 
 
 @query("s8_payloads", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", app: str = "millrace", shuffle_partiti
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

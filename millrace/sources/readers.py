@@ -171,10 +171,10 @@ def read_sql(spark: SparkSession, url: str, query: str, partition: dict | None =
     return spark.read.format("jdbc").options(**jdbc_options(url, query, partition)).load()
 
 
-def documents(source: DataFrame, criteria: str | dict = "{}", limit: int = 1000) -> DataFrame:
-    """Documents whose fields equal ``criteria``, at most ``limit`` (1..10000) of them, ``_id`` as text.
+def documents(source: DataFrame, criteria: str | dict = "{}", limit: int | None = None) -> DataFrame:
+    """Documents whose fields equal ``criteria``, ``_id`` as text; with ``limit`` the first ones by ``_id``.
 
-    The limit is the feature. ``source`` is any collection read as a DataFrame (a connector or a JSON dump),
+    ``source`` is any collection read as a DataFrame (a connector or a JSON dump),
     which gets filter and limit pushed down where it can.
     """
     wanted = json.loads(criteria) if isinstance(criteria, str) else criteria
@@ -182,7 +182,8 @@ def documents(source: DataFrame, criteria: str | dict = "{}", limit: int = 1000)
     for field, value in wanted.items():
         path = F.col(".".join(f"`{p}`" for p in field.split(".")))
         out = out.where(path.isNull() if value is None else path == F.lit(value))
-    out = out.limit(max(1, min(10_000, limit)))
+    if limit is not None:
+        out = (out.orderBy(col("_id")) if "_id" in out.columns else out).limit(limit)
     return out.withColumn("_id", col("_id").cast("string")) if "_id" in out.columns else out
 
 

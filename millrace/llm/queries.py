@@ -76,7 +76,29 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("keep", F.coalesce(F.col("tail") >= quality.KEEP_FROM, F.lit(True)))
 
 
-@query("op5_decontamination")
+NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _word_lists(table_name: str, key: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT row_number() OVER () AS r, {key}, list_filter(regexp_split_to_array({lower}, '{NOT_WORDS}'), lambda x: x <> '') AS ws FROM {table_name}"
+
+
+@query(
+    "op5_decontamination",
+    f"""
+WITH d AS ({_word_lists("documents", "doc_id")}), b AS ({_word_lists("benchmark", "item_id")}),
+w AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_slice(ws, i, i + 9) AS win
+      FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM b WHERE len(ws) > 0)),
+n AS (SELECT DISTINCT len(win) AS n FROM w),
+x AS (SELECT r, n, i, list_slice(ws, i, i + n - 1) AS win FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, n)),
+h AS (SELECT r, n, i, item FROM x JOIN w USING (win)),
+p AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM h) GROUP BY r),
+q AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)""",
+)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
     return found.select("doc_id", *leaks.digest())

@@ -18,13 +18,12 @@ MAX_CATEGORIES = 200
 NULL_LABEL = "nan"
 
 
-def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values as text; refuses columns with more than MAX_CATEGORIES of them."""
-    found = (
-        df.select(col(column).cast("string").alias("v")).where("v is not null").distinct().limit(MAX_CATEGORIES + 1).collect()
-    )
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column!r} has more than {MAX_CATEGORIES} categories; use another encoder")
+def categories(df: DataFrame, column: str, most: int | None = None) -> list[str]:
+    """Sorted distinct values as text; with ``most``, refuses columns with more than so many of them."""
+    values = df.select(col(column).cast("string").alias("v")).where("v is not null").distinct()
+    found = (values if most is None else values.limit(most + 1)).collect()
+    if most is not None and len(found) > most:
+        raise ValueError(f"{column!r} has more than {most} categories; use another encoder")
     return sorted(r["v"] for r in found)
 
 
@@ -34,7 +33,7 @@ def one_hot(
     """One 0/1 column ``<column>_<category>`` per category; a null row is all zeros unless it is a category."""
     new: dict[str, Column] = {}
     for c in columns:
-        names = list(known[c]) if known else categories(df, c)
+        names = list(known[c]) if known else categories(df, c, MAX_CATEGORIES)
         names = names[1:] if drop_first else names
         text = col(c).cast("string")
         for v in names:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from millrace.models import evaluate, interpret, isolation, linear, supervised, unsupervised
-from millrace.operators import missing, neighbours, selection
+from millrace.operators import missing, neighbours, sampling, selection
 from millrace.plans import compose
 from millrace.plans.catalog import query, r, union_all
 from millrace.plans.queries_basic import DOUBLED, GAPPY, NUMBERS, doubled, gappy
@@ -288,12 +288,12 @@ def _(t):
 
 @query("l19_ensembles")
 def _(t):
-    data = graded(t).select("doc_id", *NUMERIC, "quality")
+    data, unseen = sampling.split(graded(t).select("doc_id", *NUMERIC, "quality"), 0.3, ["doc_id"])
     names = ["logistic_regression", "decision_tree"]
     members = [supervised.train(data.drop("doc_id"), "quality", a, "classification", NUMERIC) for a in names]
     stacked = supervised.stack(data, "quality", names, ["doc_id"], 3, "classification", NUMERIC)
-    vote = supervised.ensemble_comparison(members, lambda d: supervised.voting(members, d, ["doc_id"]), data, "voting")
-    return vote.unionByName(supervised.ensemble_comparison(members, stacked.predict, data, "stacking").where("model = 'stacking'"))
+    vote = supervised.ensemble_comparison(members, lambda d: supervised.voting(members, d, ["doc_id"]), unseen, "voting")
+    return vote.unionByName(supervised.ensemble_comparison(members, stacked.predict, unseen, "stacking").where("model = 'stacking'"))
 
 
 @query("l20_search")

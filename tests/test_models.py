@@ -215,3 +215,21 @@ def test_fitted_steps_apply_to_streams(spark, tmp_path, table):
     q.processAllAvailable()
     q.stop()
     assert spark.table("filled").count() == 400
+
+
+def test_more_than_200_classes(spark):
+    df = spark.createDataFrame([(float(i % 250), f"c{i % 250:03}") for i in range(1000)], "x double, kind string")
+    fitted = supervised.train(df, "kind", "knn", "classification", ["x"], {"k": 1})
+    got = fitted.predict(df)
+    assert got.where("prediction = kind").count() == 1000
+    assert len(evaluate.confusion_matrix(got, "kind").columns) == 251
+
+
+def test_only_rows_with_gaps_meet_the_answers(spark):
+    from millrace.operators import neighbours
+
+    df = spark.createDataFrame([(float(i), None if i % 50 == 0 else float(i % 9)) for i in range(400)], "a double, b double")
+    out = neighbours.knn_impute(df, ["a", "b"], 3)
+    assert out.count() == 400 and out.where("b IS NULL").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join")

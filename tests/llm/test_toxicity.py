@@ -7,7 +7,8 @@ FOLDER = "/root/testdata/sf0.1"
 
 def test_folding():
     words = toxicity.fold("1D10T ѕtuрid Ｌoser ÉCLAIR".encode())
-    assert words == toxicity.fold(b"idiot stupid loser eclair")
+    assert words == toxicity.fold("idiot stupid loser éclair".encode())
+    assert toxicity.fold_accents(words) == toxicity.fold(b"idiot stupid loser eclair") and toxicity.fold_accents(words[:3]) is None
     assert toxicity.fold_marks(b"an id!ot, $ 5!") == b"an idiot, $ 5!"
 
 

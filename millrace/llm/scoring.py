@@ -23,9 +23,7 @@ from millrace.llm import blocks as B
 from millrace.llm.common import lower_words
 from millrace.session import checkpoint_folder
 
-DEPTH = 5
-#: Bytes of text in a block; its different grams, and so its memory, grow with the depth.
-BLOCK_BYTES = 4 << 20
+DEPTH = 4
 END = b"\n"
 _UNIFIED = "kind int, block int, bucket int, found binary, code long, n long, tokens long, known long"
 _ANSWER = "kind int, block int, bucket int, found binary, tokens long, known long"
@@ -200,7 +198,7 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_bytes of every row.
 
     Rows that are not held out train both models. base_score is that of single words with one added to each

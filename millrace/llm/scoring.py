@@ -3,15 +3,20 @@
 A text is read as its lower-case words with a blank between them and an end behind the last. Each byte is
 coded as eight binary choices; for each choice, a tree over the bytes before it mixes the
 Krichevsky-Trofimov estimates of all depths from none to ``DEPTH`` bytes. Trees are trained on all
-training rows. Weighted probabilities go up the tree by one aggregate a depth, mixing weights come down by
-one join a depth. Documents ask for the code length of each of their different byte grams by blocks
-(see ``blocks``), so the tree may grow with the corpus.
+training rows. A gram is a byte with its context, the nearest byte of the context first. Grams are dealt over
+buckets by the nearest ``TOP`` bytes, so that all nodes below that depth meet in one bucket, which has
+at most 256 ** (DEPTH - TOP + 1) grams for each such context. Weighted probabilities go up from there by one
+aggregate a depth, mixing weights come down by one join a depth. Documents ask for the code length of
+each of their different grams by blocks (see ``blocks``), so the tree may grow with the corpus; requests
+travel as packed steps between sorted grams.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,14 @@ from millrace.llm import blocks as B
 from millrace.llm.common import lower_words
 from millrace.session import checkpoint_folder
 
-DEPTH = 4
+DEPTH = 6
+#: Depth from which on a bucket holds whole subtrees.
+TOP = DEPTH - 2
+#: Blocks of documents for each bucket of grams, and entries of a table that numbers grams directly.
+BLOCKS_PER_BUCKET, DIRECT = 4, 48 << 20
 END = b"\n"
-_UNIFIED = "kind int, block int, bucket int, found binary, code long, n long, tokens long, known long"
+_REQUEST = "block int, bucket int, words binary, words_n binary, grams binary, grams_n binary"
+_UNIFIED = "kind int, block int, bucket int, found binary, more binary, key long, n0 long, n1 long, weighted double, tokens long, known long"
 _ANSWER = "kind int, block int, bucket int, found binary, tokens long, known long"
 
 
@@ -36,31 +46,62 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers as compressed planes of their bytes, first all low ones."""
+    return zlib.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def opened(data: bytes) -> np.ndarray:
+    """The numbers of ``packed``."""
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def packed_steps(ascending: np.ndarray) -> bytes:
+    return packed(np.diff(ascending.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def opened_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(opened(data), dtype=np.uint64)
+
+
 def gram_ids(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position from ``depth`` on the number of its gram (the byte and ``depth`` before it), and the grams' codes in order."""
+    """For each position from ``depth`` on the number of its gram, and the grams' codes in order.
+
+    A code has the bytes before the position, the nearest one highest, and the byte itself lowest.
+    """
     seen = np.zeros(256, bool)
     seen[data] = True
     letters = np.flatnonzero(seen)
     place = np.zeros(256, np.int32)
     place[letters] = np.arange(len(letters), dtype=np.int32)
-    data, codes = place[data], letters.astype(np.uint64)
-    ids = data
-    for _ in range(depth):
-        ids = ids[:-1].astype(np.int64) * len(letters) + data[-(len(ids) - 1) :]
-        seen = np.zeros(len(codes) * len(letters), bool)
-        seen[ids] = True
-        kept = np.flatnonzero(seen)
-        number = np.zeros(len(seen), np.int32)
-        number[kept] = np.arange(len(kept), dtype=np.int32)
-        ids = number[ids]
+    data = place[data]
+    n = len(data) - depth
+    ids, codes = np.zeros(n, np.int32), np.zeros(1, np.uint64)
+    for back in (*range(1, depth + 1), 0):
+        pairs = ids.astype(np.int64) * len(letters) + data[depth - back : depth - back + n]
+        if len(codes) * len(letters) <= DIRECT:
+            ids = np.zeros(len(codes) * len(letters), np.int32)
+            ids[pairs] = 1
+            kept = np.flatnonzero(ids)
+            ids[kept] = np.arange(len(kept), dtype=np.int32)
+            ids = ids[pairs]
+        else:
+            kept, ids = np.unique(pairs, return_inverse=True)
+            ids = ids.astype(np.int32)
         codes = (codes[kept // len(letters)] << np.uint64(8)) | letters[kept % len(letters)].astype(np.uint64)
     return ids, codes
 
 
+def buckets_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each gram, by the nearest ``TOP`` bytes of its context."""
+    return (B.mixed(codes >> np.uint64(8 * (DEPTH - TOP + 1))) % np.uint64(buckets)).astype(np.int64)
+
+
 class Parsed:
     """Tokens and grams of a block of texts, with their different keys."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], buckets: int):
         words = [lower_words(t) for t in texts]
         self.n_tokens = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         self.token_starts = np.concatenate(([0], np.cumsum(self.n_tokens)))[:-1]
@@ -80,110 +121,216 @@ class Parsed:
         self.n_bytes = lengths
         number = np.cumsum(used) - 1
         codes = codes[used]
-        # Grams are kept in the order of their scrambled codes, which deals them evenly over the buckets.
-        scrambled = B.mixed(codes)
-        order = np.argsort(scrambled)
+        # Grams are kept by bucket, in a bucket by code.
+        bucket = buckets_of(codes, buckets)
+        order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.codes, self.scrambled = codes[order], scrambled[order]
+        self.codes, self.gram_edges = codes[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
         self.gram_of = rank[number[ids]]
 
 
 def _ask(buckets: int):
     def ask(table: pa.Table) -> pa.Table:
-        parsed = Parsed(table["text"].to_pylist())
+        parsed = Parsed(table["text"].to_pylist(), buckets)
         train = np.asarray(table["train"])
         words = np.bincount(parsed.word_of, weights=np.repeat(train, parsed.n_tokens), minlength=len(parsed.words)).astype(np.int64)
         grams = np.bincount(parsed.gram_of, weights=np.repeat(train, parsed.n_bytes), minlength=len(parsed.codes)).astype(np.int64)
-        we, ge = B.bucket_edges(parsed.words, buckets), B.bucket_edges(parsed.scrambled, buckets)
-        cut = lambda x, e, b: x[e[b] : e[b + 1]].tobytes()
-        rows = [(b, cut(parsed.words, we, b), cut(words, we, b), cut(parsed.codes, ge, b), cut(grams, ge, b)) for b in range(buckets)]
+        we, ge = B.bucket_edges(parsed.words, buckets), parsed.gram_edges
+        cut = lambda x, e, b: x[e[b] : e[b + 1]]
+        rows = [(b, cut(parsed.words, we, b).tobytes(), cut(words, we, b).tobytes(), packed_steps(cut(parsed.codes, ge, b)), packed(cut(grams, ge, b))) for b in range(buckets)]
         out = {"block": pa.array([table["block"][0].as_py()] * buckets, pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32())}
         return pa.table(out | {n: pa.array([r[i] for r in rows], pa.binary()) for i, n in enumerate(("words", "words_n", "grams", "grams_n"), 1)})
 
     return ask
 
 
-def _unify(table: pa.Table) -> pa.Table:
-    """Answers to the requests for words (kind 0), places of grams in the bucket (kind 2), and its grams with counts (kind 1)."""
-    at, bucket = table["block"].to_pylist(), table["bucket"][0].as_py()
-    words = B.unpacked(table, "words", "<u8")
-    keys, n = B.summed(words, B.unpacked(table, "words_n", "<i8")) if sum(map(len, words)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    counts = [n[np.searchsorted(keys, w)].tobytes() for w in words]
-    grams = B.unpacked(table, "grams", "<u8")
-    codes, m = B.summed(grams, B.unpacked(table, "grams_n", "<i8")) if sum(map(len, grams)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    places = [np.searchsorted(codes, g).astype("<i4").tobytes() for g in grams]
-    k, c = len(at), len(codes)
-    none = lambda kind, x: pa.nulls(x, kind)
-    join = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
-    return pa.table(
-        {
-            "kind": pa.array([0] * k + [2] * k + [1] * c, pa.int32()),
-            "block": pa.array(at + at + [None] * c, pa.int32()),
-            "bucket": pa.array([bucket] * (2 * k + c), pa.int32()),
-            "found": pa.array(counts + places + [None] * c, pa.binary()),
-            "code": join([None] * (2 * k), codes.astype(np.int64), pa.int64()),
-            "n": join([None] * (2 * k), m, pa.int64()),
-            "tokens": pa.array([int(n.sum())] * (2 * k) + [None] * c, pa.int64()),
-            "known": pa.array([int((n > 0).sum())] * (2 * k) + [None] * c, pa.int64()),
-        }
-    )
-
-
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series, eight steps up."""
+def _log_gamma_of(x):
+    """Stirling's series, eight steps up; for arrays and columns alike."""
+    log = F.log if isinstance(x, Column) else np.log
     z = x + 8.0
     down = x
     for i in range(1, 8):
         down = down * (x + float(i))
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(down)
+    return (z - 0.5) * log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - log(down)
+
+
+def kt_of(n0, n1):
+    """Logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return _log_gamma_of(n0 + 0.5) + _log_gamma_of(n1 + 0.5) - _log_gamma_of(n0 + n1 + 1.0) - math.log(math.pi)
+
+
+@dataclass
+class Level:
+    """Nodes of one depth and binary choice: one for each context and start of the byte's bits."""
+
+    first: np.ndarray
+    of_gram: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    weighted: np.ndarray
+    stop: np.ndarray
+    parent: np.ndarray | None
+
+    @property
+    def one(self) -> np.ndarray:
+        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1.0)
+
+
+class Subtrees:
+    """The nodes from depth ``TOP`` down of a bucket's sorted grams; ``n`` are their training counts."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        self.grams, self.n, self.up = {DEPTH: codes}, {DEPTH: n.astype(float)}, {}
+        for d in reversed(range(TOP, DEPTH)):
+            below = self.grams[d + 1]
+            shorter = ((below >> np.uint64(16)) << np.uint64(8)) | (below & np.uint64(255))
+            self.grams[d], self.up[d] = np.unique(shorter, return_inverse=True)
+            self.n[d] = np.bincount(self.up[d], weights=self.n[d + 1], minlength=len(self.grams[d]))
+
+    def levels(self, k: int) -> dict[int, Level]:
+        """By depth, for the choice of bit ``k`` (0 is the highest)."""
+        out: dict[int, Level] = {}
+        for d in range(DEPTH, TOP - 1, -1):
+            start = self.grams[d] >> np.uint64(8 - k)
+            new = np.concatenate(([True], start[1:] != start[:-1]))
+            first, of_gram = np.flatnonzero(new), np.cumsum(new) - 1
+            ones = (self.grams[d] >> np.uint64(7 - k)) & np.uint64(1)
+            n1 = np.add.reduceat(self.n[d] * ones, first)
+            n0 = np.add.reduceat(self.n[d], first) - n1
+            kt = kt_of(n0, n1)
+            if d == DEPTH:
+                weighted, stop = kt, np.ones(len(kt))
+            else:
+                under = out[d + 1]
+                under.parent = of_gram[self.up[d][under.first]]
+                weighted = math.log(0.5) + np.logaddexp(kt, np.bincount(under.parent, weights=under.weighted, minlength=len(first)))
+                stop = 0.5 * np.exp(kt - weighted)
+            out[d] = Level(first, of_gram, n0, n1, weighted, stop, None)
+        return out
+
+    def keys(self, level: Level, k: int) -> np.ndarray:
+        """Names of the nodes at depth ``TOP``: the context's bytes, then a one and the first ``k`` bits."""
+        grams = self.grams[TOP][level.first]
+        byte = grams & np.uint64(255)
+        return (grams - byte) | np.uint64(1 << k) | (byte >> np.uint64(8 - k))
+
+    def log_p(self, key: np.ndarray, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log10 of the mixed probability of each gram's byte.
+
+        ``key`` are the nodes at depth ``TOP`` in order, with the probability of a one from the depths above and
+        the weight that is left for this depth and those below.
+        """
+        out = np.zeros(len(self.grams[DEPTH]))
+        for k in range(8):
+            levels = self.levels(k)
+            at = np.searchsorted(key, self.keys(levels[TOP], k))
+            one, left = p[at], rest[at]
+            for d in range(TOP, DEPTH + 1):
+                level = levels[d]
+                if d > TOP:
+                    one, left = one[level.parent], left[level.parent]
+                one, left = one + left * level.stop * level.one, left * (1 - level.stop)
+            one = one[levels[DEPTH].of_gram]
+            bit = (self.grams[DEPTH] >> np.uint64(7 - k)) & np.uint64(1)
+            out += np.log10(np.where(bit == 1, one, 1 - one))
+        return out
+
+
+def _unify(batch: pa.Table) -> pa.Table:
+    """What a bucket makes of its requests, by kind.
+
+    0: the counts of a block's words; 1: the bucket's grams with their counts; 2: the places of a block's grams
+    among them; 3: nodes at depth ``TOP``.
+    """
+    at, bucket = batch["block"].to_pylist(), batch["bucket"][0].as_py()
+    words = B.unpacked(batch, "words", "<u8")
+    keys, n = B.summed(words, B.unpacked(batch, "words_n", "<i8")) if sum(map(len, words)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    grams = [opened_steps(x) for x in batch["grams"].to_pylist()]
+    totals = {"tokens": int(n.sum()), "known": int((n > 0).sum())}
+    rows = [{"kind": 0, "block": b, "found": n[np.searchsorted(keys, w)].tobytes(), **totals} for b, w in zip(at, words)]
+    nodes = pa.table({c: pa.array([], pa.float64() if c == "weighted" else pa.int64()) for c in ("key", "n0", "n1", "weighted")})
+    if sum(map(len, grams)):
+        codes, m = B.summed(grams, [opened(x) for x in batch["grams_n"].to_pylist()])
+        rows.append({"kind": 1, "found": packed_steps(codes), "more": packed(m)})
+        trees = Subtrees(codes, m)
+        found = []
+        for k in range(8):
+            top = trees.levels(k)[TOP]
+            found.append(pa.table({"key": trees.keys(top, k).astype(np.int64), "n0": top.n0.astype(np.int64), "n1": top.n1.astype(np.int64), "weighted": top.weighted}))
+        nodes = pa.concat_tables(found).combine_chunks()
+        rows += [{"kind": 2, "block": b, "found": packed_steps(np.searchsorted(codes, g)), **totals} for b, g in zip(at, grams)]
+    else:
+        rows += [{"kind": 2, "block": b, "found": packed_steps(g), **totals} for b, g in zip(at, grams)]
+    schema = pa.schema(
+        [("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("found", pa.binary()), ("more", pa.binary())]
+        + [(c, pa.float64() if c == "weighted" else pa.int64()) for c in ("key", "n0", "n1", "weighted", "tokens", "known")]
+    )
+    small = pa.Table.from_pylist([{"bucket": bucket, **r} for r in rows], schema)
+    for name, value in (("kind", 3), ("bucket", bucket)):
+        nodes = nodes.append_column(name, pa.array(np.full(nodes.num_rows, value, np.int32)))
+    return pa.concat_tables([small, nodes], promote_options="default").select(schema.names)
 
 
-def code_lengths(grams: DataFrame) -> DataFrame:
-    """bucket, code and log_p (log10 of the mixed probability of the byte after its context) of every gram.
+def top_states(nodes: DataFrame) -> DataFrame:
+    """bucket, key, p and rest of every node at depth ``TOP``.
 
-    ``grams`` has bucket, code (the context's bytes and the byte) and n (training count, 0 if only other rows have it).
+    p is the probability of a one from the depths above, rest the weight they leave. ``nodes`` has bucket, key,
+    n0, n1 (training counts) and weighted (the logarithm of the node's weighted probability).
     """
-    bits = grams.select("bucket", "code", "n", F.explode(F.array(*(F.lit(k) for k in range(8)))).alias("k"))
-    prefix = F.expr("shiftleft(1L, k)").bitwiseOR(F.expr("shiftright(code & 255L, 8 - k)"))
-    bit = F.expr("shiftright(code & 255L, 7 - k)").bitwiseAND(F.lit(1))
-    bits = bits.withColumns({"key": (F.col("code") - F.expr("code & 255L")).bitwiseOR(prefix), "bit": bit})
-    kt = _log_gamma(F.col("n0") + 0.5) + _log_gamma(F.col("n1") + 0.5) - _log_gamma(F.col("n0") + F.col("n1") + 1.0) - math.log(math.pi)
+    kt = kt_of(F.col("n0"), F.col("n1"))
     one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    leaf = bits.groupBy("key").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
-    levels = [stored(leaf.withColumn("weighted", kt))]
-    for depth in reversed(range(DEPTH)):
-        up = F.shiftleft(F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1)), 8).bitwiseOR(F.expr("key & 255L"))
+    # Without the farthest byte of the context.
+    up = F.shiftleft(F.shiftright("key", 16), 8).bitwiseOR(F.expr("key & 255L"))
+    levels = [nodes]
+    for _ in range(TOP):
         node = levels[0].groupBy(up.alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
         node = node.withColumn("kt", kt)
         high = F.greatest("kt", "below")
         weighted = math.log(0.5) + high + F.log(F.exp(F.col("kt") - high) + F.exp(F.col("below") - high))
         levels.insert(0, stored(node.withColumn("weighted", weighted).withColumn("stop", 0.5 * F.exp(F.col("kt") - F.col("weighted")))))
     state = levels[0].select("key", (F.col("stop") * one).alias("p"), (1 - F.col("stop")).alias("rest"))
-    for depth in range(1, DEPTH + 1):
-        up = F.shiftleft(F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * (depth - 1))) - 1)), 8).bitwiseOR(F.expr("key & 255L"))
-        stop = F.lit(1.0) if depth == DEPTH else F.col("stop")
-        here = levels[depth].select("key", up.alias("up"), one.alias("one"), stop.alias("stop"))
+    for level in levels[1:-1]:
+        here = level.select("key", up.alias("up"), one.alias("one"), "stop")
         state = here.join(state.select(F.col("key").alias("up"), "p", "rest"), "up").select(
             "key", (F.col("p") + F.col("rest") * F.col("stop") * F.col("one")).alias("p"), (F.col("rest") * (1 - F.col("stop"))).alias("rest")
         )
-    p = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return bits.join(state.select("key", "p"), "key").groupBy("bucket", "code").agg(F.sum(F.log10(p)).alias("log_p"))
+    above = state.select(F.col("key").alias("up"), "p", "rest")
+    return nodes.select("bucket", "key", up.alias("up")).join(above, "up").select("bucket", "key", "p", "rest")
+
+
+def _answer(unified: pa.Table, states: pa.Table) -> pa.Table:
+    """Code lengths of the grams of each block, in the order of its request."""
+    rows = unified.to_pylist()
+    values = np.zeros(0)
+    for r in rows:
+        if r["kind"] == 1:
+            order = np.argsort(np.asarray(states["key"]))
+            key, p, rest = (np.asarray(states[c])[order] for c in ("key", "p", "rest"))
+            values = Subtrees(opened_steps(r["found"]), opened(r["more"])).log_p(key.astype(np.uint64), p, rest)
+    values = values.astype("<f4")
+    asked = [r for r in rows if r["kind"] == 2]
+    out = {c: [r[c] for r in asked] for c in ("kind", "block", "bucket", "tokens", "known")}
+    found = [values[opened_steps(r["found"]).astype(np.int64)].tobytes() for r in asked]
+    whole = lambda c: pa.array(out[c], pa.int32())
+    return pa.table(
+        {"kind": whole("kind"), "block": whole("block"), "bucket": whole("bucket"), "found": pa.array(found, pa.binary()), "tokens": pa.array(out["tokens"], pa.int64()), "known": pa.array(out["known"], pa.int64())}
+    )
+
 
+def _reader(buckets: int):
+    def read(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        return _read(docs, answers, buckets)
 
-def _answer(places: pa.Table, lengths: pa.Table) -> pa.Table:
-    order = np.argsort(np.asarray(lengths["gram"]))
-    values = np.asarray(lengths["log_p"])[order].astype("<f4")
-    found = [values[np.frombuffer(x, "<i4")].tobytes() for x in places["found"].to_pylist()]
-    return pa.table({"kind": places["kind"], "block": places["block"], "bucket": places["bucket"], "found": pa.array(found, pa.binary()), "tokens": places["tokens"], "known": places["known"]})
+    return read
 
 
-def _read(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _read(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
     if not docs.num_rows:
         return schema.empty_table()
     rows = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["found"].to_pylist(), answers["tokens"].to_pylist(), answers["known"].to_pylist()))
-    parsed = Parsed(docs["text"].to_pylist())
+    parsed = Parsed(docs["text"].to_pylist(), buckets)
     counts = np.frombuffer(b"".join(r[2] for r in rows if r[0] == 0), "<i8")[parsed.word_of]
     lengths = np.frombuffer(b"".join(r[2] for r in rows if r[0] == 2), "<f4").astype(float)[parsed.gram_of]
     n, v = sum(r[3] for r in rows if r[0] == 0), sum(r[4] for r in rows if r[0] == 0)
@@ -207,14 +354,15 @@ def score(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     rows all count. An empty table gives no rows.
     """
     n = B.count_blocks(docs, block_bytes)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BLOCKS_PER_BUCKET)
     dealt = B.dealt(docs, n, (~held_out()).alias("train"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(n), "block int, bucket int, words binary, words_n binary, grams binary, grams_n binary")
+    asked = dealt.groupBy("block").applyInArrow(_ask(buckets), _REQUEST)
     unified = stored(asked.groupBy("bucket").applyInArrow(_unify, _UNIFIED))
-    lengths = code_lengths(unified.where("kind = 1").select("bucket", "code", "n"))
-    lengths = lengths.select(F.col("bucket").alias("of_bucket"), F.col("code").alias("gram"), "log_p")
-    of_grams = unified.where("kind = 2").groupBy("bucket").cogroup(lengths.groupBy("of_bucket")).applyInArrow(_answer, _ANSWER)
+    states = top_states(unified.where("kind = 3").select("bucket", "key", "n0", "n1", "weighted")).withColumnRenamed("bucket", "of_bucket")
+    of_grams = unified.where("kind in (1, 2)").select("kind", "block", "bucket", "found", "more", "tokens", "known")
+    of_grams = of_grams.groupBy("bucket").cogroup(states.groupBy("of_bucket")).applyInArrow(_answer, _ANSWER)
     answers = unified.where("kind = 0").select("kind", "block", "bucket", "found", "tokens", "known").unionByName(of_grams)
     read = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _read, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+        _reader(buckets), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     )
     return read.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")

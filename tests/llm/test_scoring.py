@@ -100,5 +100,30 @@ def test_no_training_rows(spark):
 def test_grams():
     data = np.frombuffer(b"\0\0abcabca", np.uint8)
     ids, codes = scoring.gram_ids(data, 2)
-    want = [int.from_bytes(bytes(data[i : i + 3]), "big") for i in range(len(data) - 2)]
+    want = [int.from_bytes(bytes((data[i - 1], data[i - 2], data[i])), "big") for i in range(2, len(data))]
     assert codes[ids].tolist() == want
+    assert codes.tolist() == sorted(set(want))
+
+
+def test_grams_without_a_table(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 105, 400).astype(np.uint8)
+    ids, codes = scoring.gram_ids(data, 3)
+    monkeypatch.setattr(scoring, "DIRECT", 0)
+    again = scoring.gram_ids(data, 3)
+    assert ids.tolist() == again[0].tolist() and codes.tolist() == again[1].tolist()
+
+
+def test_packing():
+    for numbers in ([], [5], [0, 3, 3, 1 << 62], [7, 1, (1 << 64) - 1]):
+        x = np.array(numbers, np.uint64)
+        assert scoring.opened(scoring.packed(x)).tolist() == numbers
+        x.sort()
+        assert scoring.opened_steps(scoring.packed_steps(x)).tolist() == x.tolist()
+
+
+def test_held_out_texts_cost_less_than_with_single_words(spark):
+    """Words that recur in a fixed order: contexts tell more than counts."""
+    parts = ["the quiet river runs", "under the old stone bridge", "while seven grey herons", "wait for the morning train"]
+    rows = [(i, " ".join(parts[(i * k + k * k) % 4] for k in range(1, 30)), "s") for i in range(120)]
+    held = [r for r in scoring.score(frame(spark, rows)).collect() if r["held_out"]]
+    assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)

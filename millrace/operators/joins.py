@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col, dtype_name, small_table
+from millrace.session import cut_lineage
 
-#: A lookup side is broadcast only if it was counted and is no longer than this.
-BROADCAST_ROWS = 200_000
+#: A lookup side is broadcast only if it was measured and has no more rows and bytes (as JSON) than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a lookup table that is proven small; else AQE picks the join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of a lookup table, written once and measured: with a broadcast hint if small, else AQE picks the join."""
+    kept = cut_lineage(df)
+    rows, size = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(kept) if rows <= limit and (size or 0) <= limit_bytes else kept
 
 
 def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "inner") -> DataFrame:
@@ -48,7 +51,7 @@ def keep_top_keys(df: DataFrame, key: str, value: str | None, n: int) -> DataFra
         .orderBy(F.desc("__size"), col(key))
         .limit(n)
     )
-    return df.join(F.broadcast(top.select(key)), key, "left_semi")
+    return df.join(small_side(top.select(col(key))), key, "left_semi")
 
 
 def look_up(df: DataFrame, column: str, table: DataFrame, key: str, value: str, name: str) -> DataFrame:

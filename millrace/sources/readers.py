@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
 from collections.abc import Sequence
@@ -11,38 +12,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.semantics import col, nan_to_null
+from millrace.operators.joins import small_side
 
 
 def read_csv(
-    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None
+    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None, multi_line: bool = False
 ) -> DataFrame:
-    """CSV with header. ``skip_rows`` leaves out that many lines before the header of every file."""
+    """CSV with header. ``skip_rows`` leaves out that many lines before the header of every file.
+
+    ``multi_line`` allows line breaks in quotes; a file is then read by one task. With ``skip_rows`` all files are
+    taken to have the header and the empty lines above it of the first one, and skipped lines follow the rules of
+    quotes too.
+    """
     if encoding.lower() in ("cp1252", "windows-1252"):
         # Spark does not decode it, but reads latin-1, which differs in 32 characters only
-        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema))
+        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line))
     encoding = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1"}.get(encoding.lower(), encoding)
-    options = {"header": True, "sep": sep, "encoding": encoding, "nanValue": "NaN"}
-    if schema is None:
-        options["inferSchema"] = True
-    reader = spark.read.options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
+    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, header=not skip_rows)
     if not skip_rows:
+        reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
         return nan_to_null(reader.csv(path))
-    head = _first_lines(spark, path, skip_rows + 1, encoding)
-    header = head[skip_rows]
-    lines = _without_head(_lines(spark, path, encoding), skip_rows + 1)
-    names = header.split(sep)
-    if schema is None:
-        text = T.StructType([T.StructField(n.strip().strip('"'), T.StringType()) for n in names])
-        sample = lines.select(F.from_csv("value", text.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r")).select("r.*")
-        from millrace.operators.convert import auto_types
+    if schema is not None:
+        return nan_to_null(_without_head(reader.schema(schema).csv(path), _records_above(spark, path, skip_rows, encoding) + 1))
+    above = _records_above(spark, path, skip_rows, encoding)
+    header = _first_lines(spark, path, above + 1, encoding)[above:]
+    names = _header_names(next(csv.reader(header, delimiter=sep), []))
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return nan_to_null(_usual_types(_without_head(reader.schema(text).csv(path), above + 1)))
+
 
-        kinds = auto_types(sample)
-        schema = ", ".join(f"`{n}` {'double' if kinds.get(n) == 'float64' else 'string'}" for n in sample.columns)
-    elif isinstance(schema, T.StructType):
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return nan_to_null(lines.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*"))
+def _header_names(names: Sequence[str]) -> list[str]:
+    """Column names as the CSV source makes them: places for empty names, places added to repeated ones."""
+    folded = [n.lower() for n in names]
+    return [f"_c{i}" if not n else f"{n}{i}" if folded.count(n.lower()) > 1 else n for i, n in enumerate(names)]
+
+
+#: Types that a column of texts may turn out to have, in the order in which they are tried.
+USUAL_TYPES = ("int", "bigint", "double", "date", "timestamp", "boolean")
+
+
+def _usual_types(df: DataFrame) -> DataFrame:
+    """Text columns with the first of the usual types that all their values have; one aggregate."""
+    known = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    fits = [F.count(col(c).try_cast(t)).alias(f"{t}{i}") for i, c in enumerate(df.columns) for t in USUAL_TYPES]
+    got = df.agg(*known, *fits).first() if df.columns else {}
+    kinds = {c: next((t for t in USUAL_TYPES if got[f"n{i}"] and got[f"{t}{i}"] == got[f"n{i}"]), "string") for i, c in enumerate(df.columns)}
+    return df.select(*(col(c).try_cast(kinds[c]).alias(c) for c in df.columns))
 
 
 def _western(df: DataFrame) -> DataFrame:
@@ -66,25 +81,30 @@ def _lines(spark: SparkSession, path, encoding: str) -> DataFrame:
     return spark.read.options(**whole).schema("value string").csv(path)
 
 
-def _without_head(text: DataFrame, n: int) -> DataFrame:
-    """Drop the first ``n`` lines of every file. They lie in the file's first block, whose lines come
-    in order, so each task can count them alone and files stay splittable."""
+def _without_head(rows: DataFrame, n: int) -> DataFrame:
+    """Drop the first ``n`` records of every file.
+
+    Records of a file's first block come in order in one task, so their running ids follow each other; the least id
+    of each file tells where its head ends. Both scans cut the files alike, and files stay splittable.
+    """
+    at = rows.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"))
+    at = at.withColumn("__id", F.monotonically_increasing_id())
+    first = at.where("__start = 0").groupBy(F.col("__path").alias("__file")).agg(F.min("__id").alias("__first"))
+    both = at.join(small_side(first), F.col("__path") == F.col("__file"), "left")
+    return both.where(F.col("__first").isNull() | (F.col("__start") > 0) | (F.col("__id") >= F.col("__first") + n)).select(*(col(c) for c in rows.columns))
 
-    def run(batches):
-        seen: dict[str, int] = {}
-        for batch in batches:
-            first = batch["start"] == 0
-            at = batch.groupby("path").cumcount() + batch["path"].map(lambda p: seen.get(p, 0))
-            for path, k in batch["path"].value_counts().items():
-                seen[path] = seen.get(path, 0) + int(k)
-            yield batch.loc[~first | (at >= n), ["value"]]
 
-    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    return lines.mapInPandas(run, "value string")
+def _records_above(spark: SparkSession, path, skip_rows: int, encoding: str) -> int:
+    """How many of the first lines are records: the CSV source leaves empty lines out."""
+    if encoding.lower().startswith(("utf-16", "utf-32")):
+        return skip_rows
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").limit(skip_rows).collect()
+    return sum(bool(r["value"].strip()) for r in lines)
 
 
 def _first_lines(spark: SparkSession, path, n: int, encoding: str) -> list[str]:
-    return [r["value"] for r in _lines(spark, path, encoding).limit(n).collect()]
+    lines = _lines(spark, path, encoding).where("_metadata.file_block_start = 0")
+    return [r["value"] for r in lines.limit(n).collect()]
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col, small_table
-from millrace.operators.ordering import running_sum
+from millrace.operators.ordering import running_sums
 from millrace.operators.sampling import sample_rows
 from millrace.operators.stats import aggregate_in_jobs
 
@@ -60,8 +60,7 @@ def roc_curve(df: DataFrame, label: str, score: str, positive, rows_per_chunk: i
     hit = (col(label) == F.lit(positive)).cast("bigint")
     counts = df.groupBy(col(score).alias("threshold")).agg(F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
     counts = counts.withColumn("__down", -F.col("threshold"))
-    out = running_sum(counts, "pos", ["__down"], "tp", rows_per_chunk)
-    out = running_sum(out, "neg", ["__down"], "fp", rows_per_chunk)
+    out = running_sums(counts, {"tp": "pos", "fp": "neg"}, ["__down"], rows_per_chunk)
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     rate = lambda c, t: F.try_divide(F.col(c).cast("double"), F.lit(float(t or 0)))
     return out.select("threshold", "pos", "neg", rate("fp", totals["n"]).alias("fpr"), rate("tp", totals["p"]).alias("tpr"))

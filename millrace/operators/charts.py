@@ -16,7 +16,7 @@ from millrace.operators.aggregate import (
     pivot,
     value_counts,
 )
-from millrace.operators.joins import keep_top_keys
+from millrace.operators.joins import keep_top_keys, small_side
 from millrace.operators.ordering import moving_average, running_sum
 from millrace.operators.project import keep_range, keep_values, search_text
 from millrace.operators.sampling import sample_rows
@@ -85,7 +85,7 @@ def box(df: DataFrame, y: str, color: str | None = None) -> DataFrame:
     data = df.where(col(y).isNotNull())
     data = data.where(col(color).isNotNull()) if color else data.withColumn(key, F.lit("all"))
     quartiles = grouped_quantiles(data, [key], y, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    both = data.select(col(key), col(y).cast("double").alias("__y")).join(quartiles, key)
+    both = data.select(col(key), col(y).cast("double").alias("__y")).join(small_side(quartiles), key)
     span = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - span, F.col("q3") + span
     inside = F.when(F.col("__y").between(low, high), F.col("__y"))

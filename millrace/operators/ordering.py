@@ -106,16 +106,23 @@ def running_sum(
     df: DataFrame, value: str, order_by: Sequence[str], name: str, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Running total in sort order."""
+    return running_sums(df, {name: value}, order_by, rows_per_chunk)
+
+
+def running_sums(df: DataFrame, values: dict[str, str], order_by: Sequence[str], rows_per_chunk: int | None = None) -> DataFrame:
+    """Running totals of several columns in one sort; ``values`` has the column of each new name."""
     chunked, chunks = with_chunks(df, [], order_by, rows_per_chunk)
     window = _local([], order_by).rowsBetween(Window.unboundedPreceding, 0)
-    here = F.sum(col(value)).over(window)
+    here = {n: F.sum(col(v)).over(window) for n, v in values.items()}
     if chunks == 1:
-        return chunked.withColumn(name, here).drop(CHUNK)
-    totals = chunked.groupBy(CHUNK).agg(F.sum(col(value)).alias("__total"))
-    carried = F.sum("__total").over(_over_chunks().rowsBetween(Window.unboundedPreceding, -1))
-    carry = F.broadcast(totals.select(CHUNK, carried.alias("__carry")))
-    total = F.when(here.isNull(), F.col("__carry")).otherwise(here + F.coalesce("__carry", F.lit(0)))
-    return chunked.join(carry, CHUNK).withColumn(name, total).drop("__carry", CHUNK)
+        return chunked.withColumns(here).drop(CHUNK)
+    totals = chunked.groupBy(CHUNK).agg(*(F.sum(col(v)).alias(f"__total_{n}") for n, v in values.items()))
+    carried = lambda n: F.sum(col(f"__total_{n}")).over(_over_chunks().rowsBetween(Window.unboundedPreceding, -1))
+    carry = F.broadcast(totals.select(CHUNK, *(carried(n).alias(f"__carry_{n}") for n in values)))
+    whole = {
+        n: F.when(h.isNull(), col(f"__carry_{n}")).otherwise(h + F.coalesce(col(f"__carry_{n}"), F.lit(0))) for n, h in here.items()
+    }
+    return chunked.join(carry, CHUNK).withColumns(whole).drop(*(f"__carry_{n}" for n in values), CHUNK)
 
 
 def _carry(chunked: DataFrame, values: dict[str, Column], partition_by, order_by, forward: bool) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col
-from millrace.operators.ordering import with_position
+from millrace.operators.joins import small_side
+from millrace.session import cut_lineage
 
 
 def sort_by(df: DataFrame, column: str, ascending: bool = True, then: Sequence[str] = ()) -> DataFrame:
@@ -42,22 +43,27 @@ def split(df: DataFrame, test_share: float, key: Sequence[str], seed: int = 42)
     return df.where(~at), df.where(at)
 
 
-def stratified_split(
-    df: DataFrame, label: str, test_share: float, key: Sequence[str], seed: int = 42, rows_per_chunk: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Train and test with the test share rounded within each class.
+def stratified_split(df: DataFrame, label: str, test_share: float, key: Sequence[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and test with the test share rounded within each class; rows that share a key stay together.
 
-    Rows are numbered in (class, hash) order across chunks, so a class of any size is split by many tasks.
+    The test rows of a class are its first ones by hash of the key. The hash at which they end is found by counts of
+    ever longer beginnings of it, so rows are neither sorted nor numbered, and the split itself is a filter.
     """
-    hashed = df.withColumn("__h", hash_order(key, seed))
-    placed = with_position(hashed, [label, "__h", *key], "__pos", rows_per_chunk)
-    sizes = placed.groupBy(col(label).alias("__label")).agg(
-        F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__size")
-    )
-    both = placed.join(sizes, col(label).eqNullSafe(F.col("__label")))
-    test = F.col("__pos") - F.col("__first") < F.round(F.col("__size") * F.lit(test_share))
-    extra = ["__h", "__pos", "__label", "__first", "__size"]
-    return both.where(~test).drop(*extra), both.where(test).drop(*extra)
+    rows = df.select(col(label).alias("__label"), hash_order(key, seed).alias("__h"))
+    left = F.round(F.count(F.lit(1)) * F.lit(test_share)).cast("bigint")
+    classes = cut_lineage(rows.groupBy("__label").agg(left.alias("__left")).where("__left > 0"))
+    for bits in (52, 40, 0):  # 4,096 parts, then as many in the part where the test rows end, then single rows
+        part = F.shiftright("__h", bits)
+        counted = rows.groupBy("__label", part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+        upto = F.sum("__n").over(Window.partitionBy("__label").orderBy("__part"))
+        counted = counted.withColumn("__before", upto - F.col("__n")).withColumnRenamed("__label", "__of")
+        ends = counted.join(classes.select("__label", "__left"), F.col("__label").eqNullSafe(F.col("__of"))).where("__before < __left and __left <= __before + __n")
+        classes = small_side(ends.select("__label", (F.col("__left") - F.col("__before")).alias("__left"), "__part"))
+        wanted = classes.select(F.col("__label").alias("__of"), F.col("__part").alias("__end"))
+        rows = rows.join(wanted, F.col("__label").eqNullSafe(F.col("__of")) & (part == F.col("__end"))).select("__label", "__h")
+    both = df.join(wanted, col(label).eqNullSafe(F.col("__of")), "left")
+    test = F.coalesce(hash_order(key, seed) <= F.col("__end"), F.lit(False))
+    return both.where(~test).drop("__of", "__end"), both.where(test).drop("__of", "__end")
 
 
 def with_folds(df: DataFrame, k: int, key: Sequence[str], seed: int = 42) -> DataFrame:

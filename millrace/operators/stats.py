@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.semantics import INTEGRAL, col, sample_kurtosis, sample_skewness
+from millrace.operators.joins import small_side
 from millrace.operators.ordering import CHUNK, _over_chunks, with_chunks
+from millrace.session import cut_lineage
 
 #: Histogram rows per scan of ``order_statistics``.
 BINS_PER_SCAN = 65_536
@@ -293,7 +295,7 @@ def grouped_quantiles(
     """
     data = df.select(*[col(k) for k in keys], col(value).cast("double").alias("__v"))
     data = data.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    counts = data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut_lineage(data.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
     chunked, chunks = with_chunks(counts, keys, ["__v"], rows_per_chunk)
     order = [col(k) for k in [*keys, "__v"]]
     here = F.sum("__n").over(Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -306,7 +308,7 @@ def grouped_quantiles(
         F.sum("__n").alias("__size"), F.min(F.col("__end") - F.col("__n")).alias("__base")
     )
     same = reduce(and_, [col(k).eqNullSafe(col(f"__key_{k}")) for k in keys])
-    both = placed.join(groups, same).withColumn("__upto", F.col("__end") - F.col("__base"))
+    both = placed.join(small_side(groups), same).withColumn("__upto", F.col("__end") - F.col("__base"))
     outs = []
     for n, p in probs.items():
         at = (F.col("__size") - 1) * F.lit(float(p))

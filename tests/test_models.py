@@ -169,11 +169,17 @@ def test_roc_across_chunks(spark):
     assert abs(evaluate.roc_auc(df, "y", "s", 1, rows_per_chunk=20).first()["auc"] - wins) < 1e-9
 
 
-def test_stratified_split_across_chunks(table):
-    train, test = sampling.stratified_split(table, "label", 0.25, ["id"], rows_per_chunk=50)
+def test_stratified_split(spark, table):
+    train, test = sampling.stratified_split(table, "label", 0.25, ["id"])
     sizes = table.groupBy("label").count().toPandas().set_index("label")["count"]
     got = test.groupBy("label").count().toPandas().set_index("label")["count"]
     assert (got == (sizes * 0.25).round()).all() and train.count() + test.count() == 400
+    assert train.select("id").intersect(test.select("id")).isEmpty()
+    odd = spark.createDataFrame([(i, None if i % 3 else "x") for i in range(31)] + [(99, "one")], "id int, label string")
+    train, test = sampling.stratified_split(odd, "label", 0.3, ["id"])
+    assert train.columns == test.columns == odd.columns and train.count() == 23
+    assert {r["label"]: r["count"] for r in test.groupBy("label").count().collect()} == {"x": 3, None: 6}
+    assert all(d.count() == 0 for d in sampling.stratified_split(odd.limit(0), "label", 0.3, ["id"]))
 
 
 def test_ensembles_and_explanations(table):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col, numeric_columns, text_columns
@@ -17,10 +17,11 @@ from millrace.operators.aggregate import (
     value_counts,
 )
 from millrace.operators.joins import keep_top_keys, small_side
-from millrace.operators.ordering import moving_average, running_sum
+from millrace.operators.ordering import moving_average, running_sum, with_position
 from millrace.operators.project import keep_range, keep_values, search_text
 from millrace.operators.sampling import sample_rows
 from millrace.operators.stats import grouped_quantiles, moments
+from millrace.session import cut_lineage
 
 
 def bar(df: DataFrame, x: str, y: str | None = None, how: str = "count") -> DataFrame:
@@ -135,9 +136,6 @@ def sankey(df: DataFrame, source: str, target: str, value: str | None = None) ->
 
     The node table is as small as the chart's axes; it numbers by ``with_position`` all the same.
     """
-    from millrace.operators.joins import small_side
-    from millrace.operators.ordering import with_position
-
     flows = group_aggregate(df, [source, target], value, "sum" if value else "count")
     flows = flows.select(
         col(source).cast("string").alias("source"), col(target).cast("string").alias("target"), "value"
@@ -159,15 +157,14 @@ def word_frequencies(df: DataFrame, column: str, top: int = 200) -> DataFrame:
 def funnel(df: DataFrame, stage: str, value: str | None = None) -> DataFrame:
     """Stages by size, with percent of the first and of the previous stage."""
     stages = group_aggregate(df, [stage], value, "sum" if value else "count")
-    # one row per stage of a funnel
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("value"), col(stage))
     size = F.col("value").cast("double")
-    return stages.withColumns(
-        {
-            "percent_initial": size / F.first(size).over(order) * 100,
-            "percent_previous": F.coalesce(size / F.lag(size).over(order), F.lit(1.0)) * 100,
-        }
+    placed = cut_lineage(with_position(stages.withColumn("__down", F.coalesce(-size, F.lit(float("inf")))), ["__down", stage], "__at"))
+    largest = placed.agg(F.max(size)).first()[0]
+    before = placed.select((F.col("__at") + 1).alias("__at"), size.alias("__before"))
+    out = placed.join(before, "__at", "left").withColumns(
+        {"percent_initial": size / F.lit(largest) * 100, "percent_previous": F.coalesce(size / F.col("__before"), F.lit(1.0)) * 100}
     )
+    return out.select(*(col(c) for c in stages.columns), "percent_initial", "percent_previous")
 
 
 def waterfall(df: DataFrame, x: str, y: str) -> DataFrame:

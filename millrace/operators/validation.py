@@ -268,8 +268,8 @@ def column_recommendations(df: DataFrame, columns: Sequence[str] | None = None)
     return recommendations_from(validate_columns(df, columns))
 
 
-def column_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Issues shown on a column's page: gaps, outliers, type, cardinality."""
+def column_issues(df: DataFrame, columns: Sequence[str] | None = None, records: DataFrame | None = None) -> DataFrame:
+    """Issues shown on a column's page: gaps, outliers, type, cardinality. ``records`` of the columns need no scan."""
     issue = lambda kind, n: F.struct(F.lit(kind).alias("issue"), n.cast("bigint").alias("affected"))
     rules = [
         (F.col("completeness_pct") < 95, issue("missing", F.col("null_count"))),
@@ -277,7 +277,8 @@ def column_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         (~F.col("type_consistency"), issue("type", F.col("non_null_count"))),
         ((F.col("data_type") == "object") & (F.col("uniqueness_pct") > 90), issue("cardinality", F.col("unique_count"))),
     ]
-    return validate_columns(df, columns).select("column", _issues(*rules).alias("r")).select("column", "r.*")
+    records = validate_columns(df, columns) if records is None else records
+    return records.select("column", _issues(*rules).alias("r")).select("column", "r.*")
 
 
 def byte_estimate(df: DataFrame) -> F.Column:
@@ -554,7 +555,7 @@ def column_detail(df: DataFrame, column: str) -> DataFrame:
         parts.append(
             top.select(F.lit("top").alias("part"), col(column).cast("string").alias("label"), F.col("count").cast("double").alias("value"))
         )
-    issues = column_issues(df, [column])
+    issues = column_issues(df, [column], record)
     parts.append(issues.select(F.lit("issue").alias("part"), F.col("issue").alias("label"), F.col("affected").cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.operators import charts, ordering, sampling
 from millrace.plans.catalog import query, r, union_all
 from millrace.plans.queries_basic import NUMBERS
+from millrace.session import checkpoint_folder
 from millrace.sources import readers, sinks
 
 # --- windows ----------------------------------------------------------------------------------
@@ -497,3 +499,77 @@ def _(t):
     records = sinks.transformer_params(scaling.fit(t.lineitem, ["l_quantity"], "standard"))
     rows = [(x["column"], x["type"], x["params"]["shift"], x["params"]["scale"]) for x in records]
     return t.spark.createDataFrame(rows, "column string, type string, shift double, scale double")
+
+
+# --- round trips: a given table is written, read again and compared with itself -----------------
+
+
+def scratch(t) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    return f"{checkpoint_folder(t.spark)}/trip-{uuid.uuid4().hex}"
+
+
+CUSTOMERS = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
+
+
+def customers(df):
+    return df.select(F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"), F.col("c_acctbal").cast("double"), "c_mktsegment")
+
+
+@query("s1_csv", f"SELECT {CUSTOMERS} FROM customer")
+def _(t):
+    path = scratch(t)
+    t.customer.write.options(header=True, sep=";", encoding="iso-8859-1").csv(path)
+    return customers(readers.read_csv(t.spark, path, sep=";", encoding="latin-1"))
+
+
+@query("s1_csv_below_a_head", "SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority || chr(10) || '\"a, b\"' AS o_note FROM orders")
+def _(t):
+    """Two lines above the header of every file, separators, quotes and line breaks in values."""
+    path = scratch(t)
+    note = F.concat("o_orderpriority", F.lit('\n""a, b""'))
+    line = F.concat_ws(",", "o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date"), F.concat(F.lit('"'), note, F.lit('"')))
+    head = "report\n2 lines, not data\no_orderkey,o_orderstatus,o_totalprice,o_orderdate,o_note\n"
+    files = t.orders.groupBy(F.floor(F.col("o_orderkey") / 20_000).alias("file")).agg(F.concat(F.lit(head), F.concat_ws("\n", F.collect_list(line))).alias("value"))
+    files.repartition("file").select("value").write.option("maxRecordsPerFile", 1).text(path)
+    back = readers.read_csv(t.spark, path, skip_rows=2, multi_line=True)
+    return back.select(F.col("o_orderkey").cast("bigint"), "o_orderstatus", F.col("o_totalprice").cast("double"), "o_orderdate", "o_note")
+
+
+@query("s3_json", f"SELECT {CUSTOMERS} FROM customer")
+def _(t):
+    return customers(readers.read_json(t.spark, sinks.export(t.customer, scratch(t), "customer", "json"), lines=True))
+
+
+@query("s4_text", "SELECT s_name AS text, count(*) AS n FROM supplier GROUP BY 1")
+def _(t):
+    """One text a file."""
+    path = scratch(t)
+    t.supplier.select("s_name").write.option("maxRecordsPerFile", 1).text(path)
+    texts = readers.read_text(t.spark, path)
+    return texts.select(F.trim(F.regexp_replace("text", "\n", "")).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k1_export", f"SELECT {CUSTOMERS}, f AS format FROM customer, (SELECT unnest(['csv', 'json', 'parquet']) AS f)")
+def _(t):
+    folder = scratch(t)
+    parts = []
+    for fmt in ("csv", "json", "parquet"):
+        path = sinks.export(t.customer, folder, "customer", fmt)
+        parts.append(customers(readers.read_any(t.spark, path) if fmt != "json" else readers.read_json(t.spark, path, lines=True)).withColumn("format", F.lit(fmt)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("k2_export_for_bi", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate FROM orders")
+def _(t):
+    path = sinks.export_powerbi(t.orders.select("o_orderkey", "o_orderdate"), scratch(t), "orders")
+    return t.spark.read.schema("o_orderkey bigint, o_orderdate string").csv(path, header=True)
+
+
+@query("k5_registry_round_trip", f"SELECT {CUSTOMERS} FROM customer")
+def _(t):
+    folder = scratch(t)
+    registry = sinks.Registry(t.spark)
+    registry.add("customer", t.customer)
+    registry.save(folder)
+    return customers(sinks.Registry.load(t.spark, folder)[0].get("customer"))

@@ -16,19 +16,19 @@ from millrace.operators.joins import small_side
 
 
 def read_csv(
-    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None, multi_line: bool = False
+    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None, multi_line: bool = False, escape: str = '"'
 ) -> DataFrame:
     """CSV with header. ``skip_rows`` leaves out that many lines before the header of every file.
 
     ``multi_line`` allows line breaks in quotes; a file is then read by one task. With ``skip_rows`` all files are
     taken to have the header and the empty lines above it of the first one, and skipped lines follow the rules of
-    quotes too.
+    quotes too. A quote inside quotes is doubled, or follows ``escape``.
     """
     if encoding.lower() in ("cp1252", "windows-1252"):
         # Spark does not decode it, but reads latin-1, which differs in 32 characters only
-        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line))
+        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line, escape))
     encoding = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1"}.get(encoding.lower(), encoding)
-    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, header=not skip_rows)
+    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, escape=escape, header=not skip_rows)
     if not skip_rows:
         reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
         return nan_to_null(reader.csv(path))

@@ -18,7 +18,7 @@ def export(df: DataFrame, folder: str, name: str, fmt: str, stamp: datetime | No
     stamp = stamp or datetime.now()
     path = f"{folder}/{name}_{stamp:%Y%m%d_%H%M%S}.{fmt}"
     if fmt == "csv":
-        nested_to_text(df).write.csv(path, header=True)
+        nested_to_text(df).write.csv(path, header=True, escape='"')
     elif fmt == "json":
         df.write.json(path)
     elif fmt == "parquet":
@@ -32,7 +32,7 @@ def export_powerbi(df: DataFrame, folder: str, name: str) -> str:
     """CSV with ISO dates for BI tools (which load a folder of parts): ``<name>_powerbi.csv``."""
     path = f"{folder}/{name}_powerbi.csv"
     formats = {"dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
-    nested_to_text(df).write.options(**formats).csv(path, header=True)
+    nested_to_text(df).write.options(**formats).csv(path, header=True, escape='"')
     return path
 
 
@@ -40,7 +40,7 @@ def export_filtered(df: DataFrame, filters, path: str) -> None:
     """The rows that pass the filters, as CSV."""
     from millrace.operators.charts import apply_filters
 
-    nested_to_text(apply_filters(df, filters)).write.csv(path, header=True)
+    nested_to_text(apply_filters(df, filters)).write.csv(path, header=True, escape='"')
 
 
 class Registry:
@@ -133,7 +133,7 @@ class History:
 
     def export(self, path: str, fmt: str) -> None:
         steps = self.steps()
-        steps.write.json(path) if fmt == "json" else nested_to_text(steps).write.csv(path, header=True)
+        steps.write.json(path) if fmt == "json" else nested_to_text(steps).write.csv(path, header=True, escape='"')
 
 
 def filter_history(steps: DataFrame, operation=None, status=None, start=None, end=None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import csv
 import json
 import os
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,22 +15,23 @@ from pyspark.sql import types as T
 
 from millrace.functions.semantics import col, nan_to_null
 from millrace.operators.joins import small_side
+from millrace.operators.joins import small_side
 
 
 def read_csv(
-    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None, multi_line: bool = False, escape: str = '"'
+    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None, multi_line: bool = False
 ) -> DataFrame:
     """CSV with header. ``skip_rows`` leaves out that many lines before the header of every file.
 
     ``multi_line`` allows line breaks in quotes; a file is then read by one task. With ``skip_rows`` all files are
     taken to have the header and the empty lines above it of the first one, and skipped lines follow the rules of
-    quotes too. A quote inside quotes is doubled, or follows ``escape``.
+    quotes too.
     """
     if encoding.lower() in ("cp1252", "windows-1252"):
         # Spark does not decode it, but reads latin-1, which differs in 32 characters only
-        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line, escape))
+        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line))
     encoding = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1"}.get(encoding.lower(), encoding)
-    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, escape=escape, header=not skip_rows)
+    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, header=not skip_rows)
     if not skip_rows:
         reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
         return nan_to_null(reader.csv(path))
@@ -222,10 +225,22 @@ def explode_payloads(df: DataFrame, column: str, path: str = "", schema: str | N
     listed = F.when(kind == "[", checked).otherwise(F.concat(F.lit("["), checked, F.lit("]")))
     texts = df.select(F.explode(F.from_json(listed, "array<string>")).alias("record"))
     if schema is None:
-        schema = df.sparkSession.read.json(texts.rdd.map(lambda r: r[0])).schema
+        found = texts.agg(F.schema_of_variant_agg(F.try_parse_json("record"))).first()[0]
+        if not found.startswith("OBJECT<"):
+            return texts.select()
+        schema = _plain_types(found)
     return texts.select(F.from_json("record", schema).alias("r")).select("r.*")
 
 
+def _plain_types(schema: str) -> str:
+    """The schema of variants as a struct: decimals are doubles, what is unknown or mixed is text. Quoted names stay."""
+    parts = schema.split("`")
+    for i in range(0, len(parts), 2):
+        parts[i] = re.sub(r"\bOBJECT<", "STRUCT<", re.sub(r"\bDECIMAL\(\d+, ?\d+\)", "DOUBLE", re.sub(r": (VOID|VARIANT)\b", ": STRING", parts[i])))
+        parts[i] = re.sub(r"<(VOID|VARIANT)>", "<STRING>", parts[i])
+    return "`".join(parts)
+
+
 def from_raw(spark: SparkSession, raw: str, fmt: str, sep: str = ",") -> DataFrame:
     """Pasted text: JSON array or object, CSV with header, or plain lines in ``text``.
 

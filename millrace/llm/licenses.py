@@ -1,10 +1,12 @@
 """License scans by an exact set-similarity join (operator 10). DataFrame functions only.
 
-A text block (a line, cut into overlapping windows if long) and a template are sets of words. A
+A text block (a line, cut into overlapping windows if long) and a template are sets of words. So is
+every window of twice a template's words in the word sequence of the whole text, across line breaks. A
 block carries a license when it holds at least ``THRESHOLD`` of a template's words. Words are ordered
-by their number of blocks in the whole table, rarest first. Of a template only the first |T| - need + 1
+by their number of lines in the whole table, rarest first. Of a template only the first |T| - need + 1
 words are indexed (prefix filter); a block needs at least ``need`` words (length filter), and behind the
-first common word both must have enough left (positional filter). What passes is checked exactly.
+first common word both must have enough left (positional filter). What passes is checked exactly. A
+window holds an indexed word too, so only the windows around such words are tried, at every start.
 """
 
 from __future__ import annotations
@@ -82,7 +84,8 @@ def find(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     """row_key, line, start (word of the line that the block starts with), template, label, containment of every match.
 
     Lines end at a line break; in a line longer than two of the longest templates, blocks of that
-    length start at every half. Null and empty texts have no words. Templates are a list of the
+    length start at every half. Windows of the whole text have no line, and start counts the words of the
+    text; around an indexed word the first of the best windows stands for all. Null and empty texts have no words. Templates are a list of the
     caller's; they travel in the plan.
     """
     spark = docs.sparkSession
@@ -100,9 +103,9 @@ def find(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
         ranked = sorted(words, key=order.get)
         need = max(1, math.ceil(threshold * len(ranked) - 1e-9))
         for place, word in enumerate(ranked[: len(ranked) - need + 1]):
-            index.append((word, number, label, len(ranked), need, place, ranked))
+            index.append((word, number, label, len(ranked), need, place, ranked, 2 * len(_words(templates[number][1]))))
             first.add(word)
-    schema = "word string, template int, label string, size int, need int, place int, ranked array<string>"
+    schema = "word string, template int, label string, size int, need int, place int, ranked array<string>, span int"
     if not index:
         return lines.where("false").select(F.lit("").alias("row_key"), "line", F.lit(0).alias("start"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0.0).alias("containment"))
     hit = lines.where(F.arrays_overlap("words", F.array(*map(F.lit, sorted(first))))).select(_key().alias("row_key"), "line", "words")
@@ -117,7 +120,34 @@ def find(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     )
     common = F.size(F.array_intersect("ours", "ranked"))
     checked = near.where(common >= F.col("need")).select("row_key", "line", "start", "template", "label", (common / F.col("size")).alias("containment"))
-    return checked.distinct()
+    return checked.unionByName(_across(docs, index, schema, sorted(first), wide)).distinct()
+
+
+def _across(docs: DataFrame, index: Sequence[tuple], schema: str, first: Sequence[str], wide: int) -> DataFrame:
+    """What ``find`` returns for windows of the whole text: ``span`` words in a row, from any word on."""
+    texts = docs.select(_key().alias("row_key"), F.split(F.trim(_normal(_text())), " ").alias("words"))
+    known = F.array(*map(F.lit, first))
+    texts = texts.where(F.arrays_overlap("words", known))
+    # Each indexed word with the words that may share a window with it; begin is the first one's place.
+    begin = lambda i: F.greatest(i - wide + 1, F.lit(0))
+    around = F.transform(
+        "words",
+        lambda w, i: F.when(
+            F.array_contains(known, w), F.struct(w.alias("word"), i.alias("at"), begin(i).alias("begin"), F.slice("words", begin(i) + 1, 2 * wide).alias("near"))
+        ),
+    )
+    hits = texts.select("row_key", F.explode(F.array_compact(around)).alias("hit")).select("row_key", "hit.*")
+    met = hits.join(F.broadcast(_table(docs.sparkSession, index, schema)), "word")
+    low = F.greatest(F.col("at") - F.col("span") + 1, F.lit(0))
+    met = met.withColumn("low", low).withColumn("near", F.slice("near", F.col("low") - F.col("begin") + 1, F.col("at") + F.col("span") - F.col("low")))
+    met = met.where(F.size(F.array_intersect("near", "ranked")) >= F.col("need"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("near") - F.col("span"), F.lit(0)))
+    tried = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(F.slice("near", s + 1, F.col("span")), F.col("ranked"))).alias("common"), (-s).alias("back")))
+    best = met.withColumn("best", F.array_max(tried)).where(F.col("best.common") >= F.col("need"))
+    return best.select(
+        "row_key", F.lit(None).cast("int").alias("line"), (F.col("low") - F.col("best.back")).alias("start"), "template", "label",
+        (F.col("best.common") / F.col("size")).alias("containment"),
+    )
 
 
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:

@@ -66,3 +66,28 @@ def test_empty_table_and_no_templates(spark, nothing, odd, odd_rows):
 def test_no_python_in_the_plan(odd):
     plan = licenses.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions are met:",
+    "lgpl": "This library is free software: you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(i, f"{'some words before ' * 20 * (i % 3)}\n{t}\n{'and after ' * 30}", "s") for i, t in enumerate(WRAPPED.values())]
+    rows += [(10 + i, " ".join(alnum(t)), "s") for i, t in enumerate(WRAPPED.values())]  # the same on one line
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert all(label in got[i][0].split(",") and got[i] == got[10 + i] and got[i][1] == 1.0 for i, label in enumerate(WRAPPED))
+
+
+def test_windows_at_every_start(spark):
+    """A notice with as many other words between as it has itself, at every place of a long line; one more is too many."""
+    label, notice = licenses.TEMPLATES[6]
+    words = alnum(notice)
+    loose = " x ".join(words)
+    rows = [(i, "y " * i + loose + " z" * 90, "s") for i in range(0, 60, 7)]
+    rows.append((99, " x ".join([*words[:7], *["x"] * len(words), *words[7:]]), "s"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {r[0]: (label, 1.0) if r[0] < 99 else ("", 0.0) for r in rows}

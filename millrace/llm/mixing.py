@@ -30,6 +30,10 @@ def _source_key(name: str = "source") -> Column:
     return F.when(col(name).isNull(), "-").otherwise(F.concat(F.lit("+"), col(name).cast("string")))
 
 
+def _blocks(block_chars: int) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(F.col("chars") / block_chars))
+
+
 def source_sizes(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, period: int = PERIOD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """source_key, n, chars, q (slots in a round) and rounds of every source.
 
@@ -47,8 +51,7 @@ def source_sizes(docs: DataFrame, weights: dict[str | None, float] | None = None
     sizes = sizes.withColumn("weight", weight)
     total = sizes.agg(F.sum("weight")).first()[0] or 0.0
     q = F.greatest(F.lit(1), F.round(F.col("weight") * F.lit(period / total if total else 0.0))).cast("long")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("chars") / block_chars))
-    return sizes.withColumn("q", q).withColumn("rounds", F.ceil(blocks / F.col("q")).cast("long")).drop("weight")
+    return sizes.withColumn("q", q).withColumn("rounds", F.ceil(_blocks(block_chars) / F.col("q")).cast("long")).drop("weight")
 
 
 def round_schedules(sizes: DataFrame) -> DataFrame:
@@ -110,8 +113,8 @@ def mix(
     """doc_id, source, source_offset, block, slot of every row, then the columns ``carry``.
 
     Inside a source, rows go by the MD5 of their id; source_offset counts the characters before a
-    row. A row belongs to the block that it starts in; a text of several blocks leaves the slots of the
-    others empty. Training reads by slot, then source_offset. No row is left out or repeated: null
+    row. A row belongs to the block that it starts in, or to the last one if it is an empty text at the end of
+    its source; a text of several blocks leaves the slots of the others empty. Training reads by slot, then source_offset. No row is left out or repeated: null
     texts have no characters, null sources are a source of their own, equal rows stay apart. A hot
     source is cut along the hash into ranges, whose totals are carried forward.
     """
@@ -120,7 +123,8 @@ def mix(
     sizes = cut_lineage(source_sizes(docs, weights, alpha, period, block_chars))
     total = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
     small = F.broadcast if total[1] <= BROADCAST_SOURCES else (lambda df: df)
-    cuts = sizes.select("source_key", "q", F.greatest(F.lit(1), F.ceil(F.col("n") * ranges / (total[0] or 1))).alias("ranges"))
+    last = _blocks(block_chars) - 1
+    cuts = sizes.select("source_key", "q", last.alias("last"), F.greatest(F.lit(1), F.ceil(F.col("n") * ranges / (total[0] or 1))).alias("ranges"))
     extra = [c for c in carry if c.lower() not in ("doc_id", "source", "source_offset", "block", "slot")]
     rows = docs.select(
         _source_key().alias("source_key"),
@@ -137,7 +141,7 @@ def mix(
     totals = totals.select("source_key", "range", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("start"))
     inside = W.partitionBy("source_key", "range").orderBy("order", "doc_id", "chars").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.join(totals, ["source_key", "range"]).withColumn("source_offset", F.col("start") + F.coalesce(F.sum("chars").over(inside), F.lit(0)))
-    rows = rows.withColumn("block", F.floor(F.col("source_offset") / block_chars))
+    rows = rows.withColumn("block", F.least(F.floor(F.col("source_offset") / block_chars), F.col("last")))
     rows = rows.withColumn("round", F.floor(F.col("block") / F.col("q"))).withColumn("turn", F.col("block") % F.col("q"))
     schedule = cut_lineage(round_schedules(sizes))
     ends = sorted(r[0] for r in sizes.select("rounds").distinct().collect()) if total[1] <= BROADCAST_SOURCES else None

@@ -60,3 +60,17 @@ def test_hot_source_and_columns(spark):
 
 def test_empty_table(nothing):
     assert mixing.mix(nothing).collect() == []
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_empty_texts_at_the_end_of_whole_blocks(spark, blocks):
+    order = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    full = dict.fromkeys(order[:blocks], "x" * 200)
+    rows = [(i, full.get(i, None if i % 2 else ""), "whole") for i in range(40)] + [(100 + i, "y" * 90, f"t{i % 3}") for i in range(30)]
+    how = {"weights": {"whole": 1, "t0": 1, "t1": 1, "t2": 1}, "period": 4, "block_chars": 200}
+    got = mixing.mix(frame(spark, rows), **how).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    last = [r for r in got if r["doc_id"] == order[blocks - 1]][0]
+    for r in got:
+        if r["source"] == "whole" and r["doc_id"] not in full:
+            assert (r["source_offset"], r["block"], r["slot"]) == (blocks * 200, blocks - 1, last["slot"])

@@ -16,7 +16,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col
@@ -54,13 +54,19 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches):
         found = np.fromiter((fingerprint(t) for t in batch["text"].to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "bits"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), pa.array(found.view(np.int64))], [*kept, "bits"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and bits (the fingerprint as a signed long) of every row."""
-    base = docs.select(col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return base.mapInArrow(_fingerprints, "doc_id long, bits long")
+def _key() -> Column:
+    return F.xxhash64(text_bytes())
+
+
+def fingerprints(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id and bits (the fingerprint as a signed long) of every row; ``keyed`` adds key, 64 bits of the text."""
+    keys = [_key().alias("key")] if keyed else []
+    base = docs.select(col("doc_id").cast("long").alias("doc_id"), *keys, text_bytes().alias("text"))
+    return base.mapInArrow(_fingerprints, "doc_id long, key long, bits long" if keyed else "doc_id long, bits long")
 
 
 def _offsets(parts: int) -> list[int]:
@@ -182,17 +188,23 @@ def clusters(docs: DataFrame, parts: int | None = None) -> DataFrame:
     without an id takes part; its component_id is null only if no linked row has one. Equal
     rows give equal rows. Null texts count as empty; other columns are not read.
     """
-    marked = cut_lineage(fingerprints(docs))
+    found = _clusters(cut_lineage(fingerprints(docs)), parts)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _clusters(marked: DataFrame, parts: int | None) -> DataFrame:
+    """The rows of ``marked`` (doc_id, bits and others) with component_id."""
     distinct = marked.groupBy("bits").agg(F.min("doc_id").alias("least"))
     labels = components(links(distinct.select("bits"), parts))
     named = distinct.join(labels, distinct["bits"] == labels["node"], "left").select("bits", "least", F.coalesce("label", "bits").alias("label"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_bits = named.join(lowest, "label").select("bits", "component_id")
-    return marked.join(of_bits, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(of_bits, "bits")
 
 
 def keep_one(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
-    (gone,) = fresh(docs, "gone_id")
-    losers = clusters(docs, parts).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(losers, col("doc_id").cast("long") == F.col(gone), "left_anti")
+    gone, gone_key = fresh(docs, "gone_id", "gone_key")
+    losers = _clusters(cut_lineage(fingerprints(docs, keyed=True)), parts).where("doc_id <> component_id")
+    losers = losers.select(F.col("doc_id").alias(gone), F.col("key").alias(gone_key)).distinct()
+    return docs.join(losers, (col("doc_id").cast("long") == F.col(gone)) & (_key() == F.col(gone_key)), "left_anti")

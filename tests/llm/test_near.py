@@ -6,7 +6,7 @@ import xxhash
 from millrace.llm import near
 
 from .brute import components, lower, words
-from .conftest import as_bag
+from .conftest import as_bag, frame
 
 
 def simhash(text):
@@ -71,3 +71,9 @@ def test_one_of_a_group_stays(odd, odd_rows):
 
 def test_empty_table(nothing):
     assert near.clusters(nothing).collect() == []
+
+
+def test_an_id_on_two_texts_keeps_each_group(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, a, "s"), (6, a.upper(), "s"), (3, b, "s"), (5, b.upper(), "s")]
+    assert sorted((r["doc_id"], r["text"]) for r in near.keep_one(frame(spark, rows)).collect()) == [(3, b), (5, a)]

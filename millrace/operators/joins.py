@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col, dtype_name, small_table
 from millrace.session import cut_lineage
-from millrace.session import cut_lineage
 
 #: A lookup side is broadcast only if it was measured and has no more rows and bytes (as JSON) than this.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import csv
 import json
 import os
@@ -15,23 +14,29 @@ from pyspark.sql import types as T
 
 from millrace.functions.semantics import col, nan_to_null
 from millrace.operators.joins import small_side
-from millrace.operators.joins import small_side
 
 
 def read_csv(
-    spark: SparkSession, path, sep: str = ",", encoding: str = "utf-8", skip_rows: int = 0, schema=None, multi_line: bool = False
+    spark: SparkSession,
+    path,
+    sep: str = ",",
+    encoding: str = "utf-8",
+    skip_rows: int = 0,
+    schema=None,
+    multi_line: bool = False,
+    escape: str = '"',
 ) -> DataFrame:
     """CSV with header. ``skip_rows`` leaves out that many lines before the header of every file.
 
     ``multi_line`` allows line breaks in quotes; a file is then read by one task. With ``skip_rows`` all files are
     taken to have the header and the empty lines above it of the first one, and skipped lines follow the rules of
-    quotes too.
+    quotes too. A quote inside quotes is doubled, or follows another ``escape``.
     """
     if encoding.lower() in ("cp1252", "windows-1252"):
         # Spark does not decode it, but reads latin-1, which differs in 32 characters only
-        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line))
+        return _western(read_csv(spark, path, sep, "iso-8859-1", skip_rows, schema, multi_line, escape))
     encoding = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1"}.get(encoding.lower(), encoding)
-    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, header=not skip_rows)
+    reader = spark.read.options(sep=sep, encoding=encoding, nanValue="NaN", multiLine=multi_line, escape=escape, header=not skip_rows)
     if not skip_rows:
         reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
         return nan_to_null(reader.csv(path))
@@ -39,7 +44,7 @@ def read_csv(
         return nan_to_null(_without_head(reader.schema(schema).csv(path), _records_above(spark, path, skip_rows, encoding) + 1))
     above = _records_above(spark, path, skip_rows, encoding)
     header = _first_lines(spark, path, above + 1, encoding)[above:]
-    names = _header_names(next(csv.reader(header, delimiter=sep), []))
+    names = _header_names(next(csv.reader(header, delimiter=sep, doublequote=escape == '"', escapechar=None if escape == '"' else escape), []))
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return nan_to_null(_usual_types(_without_head(reader.schema(text).csv(path), above + 1)))
 
@@ -122,7 +127,7 @@ def read_json(spark: SparkSession, path, lines: bool = False, schema=None) -> Da
 
 def read_text(spark: SparkSession, path) -> DataFrame:
     """Text as CSV if it parses to more than one column, else one row per file in ``text``."""
-    table = spark.read.options(header=True, inferSchema=True).csv(path)
+    table = spark.read.options(header=True, inferSchema=True, escape='"').csv(path)
     if len(table.columns) > 1:
         return nan_to_null(table)
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
@@ -254,5 +259,5 @@ def from_raw(spark: SparkSession, raw: str, fmt: str, sep: str = ",") -> DataFra
     rows = [(line,) for line in raw.strip("\n").split("\n")]
     if fmt == "csv":
         lines = spark.createDataFrame(rows, "value string").coalesce(1)
-        return nan_to_null(spark.read.options(header=True, inferSchema=True, sep=sep).csv(lines.rdd.map(lambda r: r[0])))
+        return nan_to_null(spark.read.options(header=True, inferSchema=True, sep=sep, escape='"').csv(lines.rdd.map(lambda r: r[0])))
     return spark.createDataFrame(rows, "text string")

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact, leaks, mixing, quality, similar
+from millrace.llm import exact, leaks, mixing, near, quality
 from millrace.session import checkpoint_folder
 
 #: SQL has neither the fitted classifier nor XXH64; the stages are tested one by one.
@@ -33,8 +33,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at a similarity of 0.8."""
-    return similar.keep_one(docs)
+    """The document with the smallest id of each group whose fingerprints are linked, with the setting of operator 8."""
+    return near.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ from millrace.llm.common import fresh, lower_words, steps, text_bytes
 from millrace.session import cut_lineage
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
+#: Neighbours of a node beyond which they are dealt into groups before labels spread.
+HUB = 64
 #: Fingerprints of a tile that are compared as one block, and those of neighbouring tiles that meet it at once.
 HOME_BLOCK, OTHER_BLOCK = 1024, 8192
 #: Fingerprints up to which tiles of so many parts stay small enough: comparisons for each fingerprint
@@ -159,13 +161,33 @@ def links(distinct: DataFrame, parts: int | None = None) -> DataFrame:
     return units.groupBy("tile", "i", "j").applyInArrow(_compare, "a long, b long")
 
 
+def _without_hubs(pairs: DataFrame) -> DataFrame:
+    """Pairs with the same components in which no node stands in many.
+
+    A node with more than ``HUB`` partners deals them into about the root of their number of groups. Each group hangs on
+    its smallest partner, and only those hang on the node. That is done for both ends, a second time
+    for what is left of very large ones.
+    """
+    for x, y in (("a", "b"), ("b", "a")) * 2:
+        hubs = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select(x, F.ceil(F.sqrt("n")).cast("int").alias("groups"))
+        dealt = pairs.join(hubs, x, "left").withColumn("salt", F.pmod(F.xxhash64(y), F.col("groups")))
+        hung = dealt.where("groups IS NOT NULL")
+        least = hung.groupBy(x, "salt").agg(F.min(y).alias("least"))
+        to_least = hung.join(least, [x, "salt"]).where(F.col(y) != F.col("least")).select(F.col("least").alias(x), y)
+        pairs = cut_lineage(dealt.where("groups IS NULL").select(x, y).unionByName(to_least).unionByName(least.select(x, F.col("least").alias(y))))
+    return pairs
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node and label (the smallest node of its component) of every node of the pairs (a, b).
 
     Each round takes the smallest label among neighbours, hooks the old label on to it and
-    halves the paths; the rounds grow with the logarithm of the longest chain.
+    halves the paths; the rounds grow with the logarithm of the longest chain. Pairs are dealt
+    first so that no node has many neighbours.
     """
-    edges = pairs.where("a <> b")
+    edges = cut_lineage(pairs.where("a <> b").distinct())
+    if not edges.groupBy("a").count().where(F.col("count") > HUB).isEmpty() or not edges.groupBy("b").count().where(F.col("count") > HUB).isEmpty():
+        edges = _without_hubs(edges)
     edges = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
     state = cut_lineage(state.withColumn("moved", F.lit(True)))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact, leaks, licenses, mixing, near, quality, repeats, scoring, tokens, toxicity
+from millrace.llm import exact, leaks, licenses, minhash, mixing, near, oracles, quality, repair, repeats, scoring, spelling, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,4 +131,19 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query("op11_minhash", oracles.MINHASH)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.clusters(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op12_spelling_variants", oracles.SPELLING)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_conversations", oracles.CONVERSATIONS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -10,8 +10,8 @@ shared ones become keys.
 
 What meets under a key is verified on whole sets. First each node meets one node, the least it meets anywhere; what that
 links is one component. Then the open keys, whose nodes are not all in one component, are met: all pairs
-of a small one; of a large one each node with the least, then all that is not in its largest component with all
-of it, in blocks. So every pair that shares a key is verified, or is in one component already.
+of a small one; of a large one each node with the least, then, in blocks, all that is not in the largest component of a
+half band's nodes with all of these. So every pair that shares a key is verified, or is in one component already.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ HALVES, ROWS = 12, 3
 #: Nodes of a key up to which all its pairs are met one by one.
 SMALL = 12
 #: Bytes of sets that meet one node, and those of a block of a large key and of what meets it.
-GROUP_BYTES, HOME_BYTES, OTHER_BYTES = 256 << 10, 512 << 10, 2 << 20
+GROUP_BYTES, HOME_BYTES, OTHER_BYTES = 256 << 10, 1 << 20, 2 << 20
+#: Stands for a row without an id where rows are found again.
+NO_ID = -(1 << 63)
 
 _draw = np.random.default_rng(20)
 _MASKS = _draw.integers(0, 1 << 64, 2 * HALVES * ROWS, np.uint64)
@@ -142,14 +144,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _compare(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        node, label, home = (np.asarray(table[c]) for c in ("node", "label", "home"))
+        node, label, home, other = (np.asarray(table[c]) for c in ("node", "label", "home", "other"))
         sets = table["set"].combine_chunks()
         sizes = np.diff(np.asarray(sets.offsets))
         ends = np.concatenate(([0], np.cumsum(sizes)))
         _, ids = np.unique(np.asarray(sets.flatten()), return_inverse=True)
-        others = np.flatnonzero(~home)
-        of_others = np.repeat(~home, sizes)
-        entries, owner = ids[of_others], np.repeat(np.arange(len(others)), sizes[others])
+        others = np.flatnonzero(other)
+        entries, owner = ids[np.repeat(other, sizes)], np.repeat(np.arange(len(others)), sizes[others])
         held = np.zeros(len(ids) and int(ids.max()) + 1, bool)
         out = []
         for h in np.flatnonzero(home) if len(others) else ():
@@ -166,46 +167,58 @@ def _compare(percent: int):
     return run
 
 
-def _blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the large keys (key, node, size, label): all outside a key's largest component meets all of the key."""
-    parts = open_.groupBy("key", "label").agg(F.sum("size").alias("bytes"))
-    tops = parts.groupBy("key").agg(F.max_by("label", F.struct("bytes", "label")).alias("top"), F.sum("bytes").alias("all"), F.max("bytes").alias("most"))
+def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes (half, node, size, label) of large keys, met by the half band that keys share.
+
+    All outside the largest component of a half band's nodes meets all of them. One half band stands for up to
+    ``HALVES`` keys of almost the same nodes, so a set is copied once for all of these.
+    """
+    parts = large.groupBy("half", "label").agg(F.sum("size").alias("bytes"))
+    tops = parts.groupBy("half").agg(F.max_by("label", F.struct("bytes", "label")).alias("top"), F.sum("bytes").alias("all"), F.max("bytes").alias("most"))
     tops = tops.where("all > most").select(
-        "key", "top", F.ceil((F.col("all") - F.col("most")) * 8 / HOME_BYTES).cast("int").alias("homes"), F.ceil(F.col("all") * 8 / OTHER_BYTES).cast("int").alias("others")
+        "half", "top", F.ceil((F.col("all") - F.col("most")) * 8 / HOME_BYTES).cast("int").alias("homes"), F.ceil(F.col("all") * 8 / OTHER_BYTES).cast("int").alias("others")
     )
-    rows = open_.join(tops, "key")
-    name = F.xxhash64("node")
+    rows = large.join(tops, "half")
+    name, apart, alone = F.xxhash64("node"), F.col("label") != F.col("top"), (F.col("homes") == 1) & (F.col("others") == 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = rows.where("label <> top").select("key", "node", "label", F.pmod(name, F.col("homes")).cast("int").alias("i"), every("others").alias("j"), F.lit(True).alias("home"))
-    other = rows.select("key", "node", "label", every("homes").alias("i"), F.pmod(name, F.col("others")).cast("int").alias("j"), F.lit(False).alias("home"))
-    return home.unionByName(other).join(sets, "node").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    row = lambda i, j, home, other: ("half", "node", "label", i.alias("i"), j.alias("j"), home.alias("home"), other.alias("other"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
+    whole = rows.where(alone).select(*row(zero, zero, apart, yes))
+    home = rows.where(~alone & apart).select(*row(F.pmod(name, F.col("homes")).cast("int"), every("others"), yes, no))
+    other = rows.where(~alone).select(*row(every("homes"), F.pmod(name, F.col("others")).cast("int"), no, yes))
+    units = whole.unionByName(home).unionByName(other).join(sets, "node")
+    return units.groupBy("half", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
-    """key, node, size, n and leader (the least node) of each key that several of the ``nodes`` (node, size, halves) have."""
+    """key, node, size, half (the first half band of the key), n and leader (the least node) of each key of several ``nodes`` (node, size, halves)."""
     rows = nodes.select("node", "size", F.posexplode("halves").alias("place", "value"))
     twice = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
     kept = rows.join(twice, "value")
     side = lambda first: F.collect_list(F.when((F.col("place") < HALVES) == F.lit(first), F.col("value")))  # noqa: E731  # at most HALVES each
     both = kept.groupBy("node").agg(F.first("size").alias("size"), side(True).alias("u"), side(False).alias("v"))
-    keys = both.select("node", "size", F.explode("u").alias("x"), "v").select("node", "size", "x", F.explode("v").alias("y"))
-    keys = keys.select("node", "size", F.xxhash64("x", "y").alias("key"))
+    keys = both.select("node", "size", F.explode("u").alias("half"), "v").select("node", "size", "half", F.explode("v").alias("y"))
+    keys = keys.select("node", "size", "half", F.xxhash64("half", "y").alias("key"))
     counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("leader")).where("n > 1")
     return keys.join(counts, "key")
 
 
 def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Linked pairs (a, b) of nodes; their components are those of all linked pairs that share a key."""
-    nodes = marked.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("halves").alias("halves"))
+    least = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
+    nodes = marked.where("size > 0").groupBy("node").agg(
+        F.first("size").alias("size"), F.first("halves").alias("halves"), F.min(F.struct(least.alias("id"), "key")).alias("one")
+    )
+    nodes = cut_lineage(nodes)
     shared = cut_lineage(shared_keys(nodes))
-    # One text of each node that is met; sets are worked out again for these alone.
-    met = marked.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    texts = docs.select(_key().alias("key"), text_bytes().alias("text")).join(met.select("key").distinct(), "key", "left_semi")
-    sets = texts.groupBy("key").agg(F.first("text").alias("text")).select("text").mapInArrow(_sets(shingle), "node long, set array<long>")
+    # One text of each node that is met; sets are worked out again for these alone. Copies of a text differ by id, so none is a hot key.
+    met = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("one.*").distinct()
+    texts = docs.select(F.coalesce(col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _key().alias("key"), text_bytes().alias("text"))
+    sets = texts.join(met, ["id", "key"], "left_semi").select("text").mapInArrow(_sets(shingle), "node long, set array<long>")
     sets = cut_lineage(sets.dropDuplicates(["node"]))
 
     fits = (F.col("node") != F.col("leader.node")) & _may(F.col("size"), F.col("leader.size"), percent)
-    one = shared.where(fits).groupBy("node").agg(F.min("leader.node").alias("a"), F.first("size").alias("sb"))
+    one = cut_lineage(shared.where(fits).groupBy("node").agg(F.min("leader.node").alias("a"), F.first("size").alias("sb")))
     first = cut_lineage(_verified(one.select("a", F.col("node").alias("b"), "sb"), sets, percent))
 
     labelled = shared.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -220,9 +233,11 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, percent: i
     led = open_.where((F.col("n") > SMALL) & fits).select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("size").alias("sb"), "label")
     leaders = open_.where(F.col("node") == F.col("leader.node")).select(F.col("node").alias("a"), F.col("label").alias("label_a")).distinct()
     led = led.distinct().join(leaders, "a").where("label <> label_a").select("a", "b", "sb")
-    second = cut_lineage(first.unionByName(_verified(pairs.unionByName(led).distinct(), sets, percent)))
+    met_once = one.select("a", F.col("node").alias("b"))
+    rest = pairs.unionByName(led).distinct().join(met_once, ["a", "b"], "left_anti")
+    second = cut_lineage(first.unionByName(_verified(rest, sets, percent)))
 
-    large = open_.where(F.col("n") > SMALL).select("key", "node", "size")
+    large = open_.where(F.col("n") > SMALL).select("half", "node", "size").distinct()
     if large.isEmpty():
         return second
     large = large.join(components(second), "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.semantics import col, dtype_name, small_table
+from millrace.functions.semantics import NESTED, col, dtype_name, small_table
 from millrace.session import cut_lineage
 
 #: A lookup side is broadcast only if it was measured and has no more rows and bytes (as JSON) than this.
@@ -23,7 +24,8 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: s
     """Equi-join in which null keys match each other and shared names get ``_x`` / ``_y``.
 
     Equal key names give one key column. ``<=>`` on the keys still plans as a hash or
-    sort-merge join, and AQE splits skewed keys.
+    sort-merge join, and AQE splits skewed keys. In a full join, which AQE does not split, heavy
+    keys, null among them, are dealt by ``_full``.
     """
     how = {"outer": "full"}.get(how, how)
     shared = (set(left.columns) & set(right.columns)) - ({left_on} if left_on == right_on else set())
@@ -35,12 +37,80 @@ def merge(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: s
         *[col(c).alias("__right_key" if one_key and c == right_on else n) for c, n in r_names.items()]
     )
     r_key = "__right_key" if one_key else r_names[right_on]
-    out = a.join(b, col(l_names[left_on]).eqNullSafe(col(r_key)), how)
+    if how == "full":
+        out = _full(a, b, l_names[left_on], r_key)
+    else:
+        out = a.join(b, col(l_names[left_on]).eqNullSafe(col(r_key)), how)
     if one_key:
         out = out.withColumn(left_on, F.coalesce(col(left_on), F.col("__right_key"))).drop("__right_key")
     return out
 
 
+def _part_of_row(df: DataFrame, parts: Column) -> Column:
+    """One of ``parts`` for each row, by its values, so that a task that runs again deals alike."""
+    plain = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (*NESTED, T.VariantType))]
+    return F.pmod(F.xxhash64(*plain), parts).cast("int")
+
+
+def _heavy_keys(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame | None:
+    """__key, its rows __a and __b on both sides, and __i and __j, the parts they are dealt into.
+
+    Heavy is a key with more rows than an even share of a side's rows for one of the shuffle partitions, so there are at most
+    as many as partitions on each side. None if no key is.
+    """
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides, shares = [], []
+    for df, k in ((a, left), (b, right)):
+        counts = df.groupBy(col(k).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+        shares.append(max(1, -(-df.count() // parts)))
+        sides.append(counts.where(F.col("__n") > shares[-1]).select("__key"))
+    keys = cut_lineage(sides[0].unionByName(sides[1]).distinct())
+    if keys.isEmpty():
+        return None
+    few = small_side(keys)
+    for (df, k), name in zip(((a, left), (b, right)), ("__a", "__b")):
+        one = df.select(col(k).alias("__own")).join(few, F.col("__own").eqNullSafe(F.col("__key")))
+        found = one.groupBy(F.col("__own").alias("__of")).agg(F.count(F.lit(1)).alias(name))
+        keys = keys.join(found, F.col("__key").eqNullSafe(F.col("__of")), "left").drop("__of")
+    keys = keys.na.fill(0, ["__a", "__b"])
+    deal = lambda n, share: F.greatest(F.ceil(F.col(n) / F.lit(share)), F.lit(1)).cast("int")
+    return small_side(keys.select("__key", "__a", "__b", deal("__a", shares[0]).alias("__i"), deal("__b", shares[1]).alias("__j")))
+
+
+def _full(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Full outer join on null-safe equal keys, with heavy keys apart.
+
+    Whether a row of a heavy key has a partner depends on its key alone. So rows of a key that only one side has go
+    straight to the result, and those of a key that both have make an inner join of cells: each side deals its
+    rows into parts and copies them for every part of the other side. Light keys join as usual. Rows that are equal
+    in every column share a part.
+    """
+    heavy = _heavy_keys(a, b, left, right)
+    if heavy is None:
+        return a.join(b, col(left).eqNullSafe(col(right)), "full")
+    apart = lambda df, k: df.join(heavy, col(k).eqNullSafe(F.col("__key")))
+    light = lambda df, k: df.join(heavy.select("__key"), col(k).eqNullSafe(F.col("__key")), "left_anti")
+    x, y = apart(a, left), apart(b, right)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells_x = x.where("__b > 0").withColumns({"__at_i": _part_of_row(a, F.col("__i")), "__at_j": every("__j")})
+    cells_y = y.where("__a > 0").withColumns({"__to_j": _part_of_row(b, F.col("__j")), "__to_i": every("__i")})
+    meet = col(left).eqNullSafe(col(right)) & (F.col("__at_i") == F.col("__to_i")) & (F.col("__at_j") == F.col("__to_j"))
+    names = [col(c) for c in [*a.columns, *b.columns]]
+    drop = ("__key", "__a", "__b", "__i", "__j")
+    parts = [
+        light(a, left).join(light(b, right), col(left).eqNullSafe(col(right)), "full"),
+        cells_x.drop(*drop).join(cells_y.drop(*drop), meet),
+        x.where("__b = 0").select(*(col(c) for c in a.columns)),
+        y.where("__a = 0").select(*(col(c) for c in b.columns)),
+    ]
+    out = parts[0].select(*names)
+    for part in parts[1:]:
+        have = set(part.columns)
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in [*a.schema.fields, *b.schema.fields] if f.name not in have}
+        out = out.unionByName(part.withColumns(missing).select(*names))
+    return out
+
+
 def keep_top_keys(df: DataFrame, key: str, value: str | None, n: int) -> DataFrame:
     """Rows whose key is among the ``n`` largest by sum of ``value`` (or by row count)."""
     size = F.sum(col(value)) if value else F.count(F.lit(1))

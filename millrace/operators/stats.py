@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.semantics import INTEGRAL, col, sample_kurtosis, sample_skewness
 from millrace.operators.joins import small_side
-from millrace.operators.ordering import CHUNK, _over_chunks, with_chunks
+from millrace.operators.ordering import CHUNK, _before, _shared, with_chunks
 from millrace.session import cut_lineage
 
 #: Histogram rows per scan of ``order_statistics``.
@@ -299,9 +299,8 @@ def grouped_quantiles(
     chunked, chunks = with_chunks(counts, keys, ["__v"], rows_per_chunk)
     order = [col(k) for k in [*keys, "__v"]]
     here = F.sum("__n").over(Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    totals = chunked.groupBy(CHUNK).agg(F.sum("__n").alias("__total"))
-    carried = F.sum("__total").over(_over_chunks().rowsBetween(Window.unboundedPreceding, -1))
-    carry = F.broadcast(totals.select(CHUNK, F.coalesce(carried, F.lit(0)).alias("__carry")))
+    totals = _before(chunked.groupBy(CHUNK).agg(F.sum("__n").alias("__carry")), ["__carry"], chunks)
+    carry = _shared(totals.select(CHUNK, F.coalesce("__carry", F.lit(0)).alias("__carry")), chunks)
     placed = chunked.withColumn("__here", here).join(carry, CHUNK)
     placed = placed.withColumn("__end", F.col("__here") + F.col("__carry"))
     groups = placed.groupBy(*[col(k).alias(f"__key_{k}") for k in keys]).agg(

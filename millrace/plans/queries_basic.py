@@ -203,6 +203,20 @@ for _how in ("inner", "left", "right", "outer"):
         return joins.merge(*_sides(t), "o_custkey", "c_custkey", how)
 
 
+@query(
+    "j1_merge_hot_null_keys",
+    """SELECT o.o_orderkey, o.o_ref, c.c_custkey, c.c_ref
+ FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN -7 ELSE o_custkey END AS o_ref FROM orders) o
+ FULL JOIN (SELECT c_custkey, CASE WHEN c_custkey <= 3 THEN NULL ELSE c_custkey END AS c_ref FROM customer) c ON o.o_ref IS NOT DISTINCT FROM c.c_ref""",
+)
+def _(t):
+    """Half of the keys are null, which match three rows; a fifth of the rest is one key without a match."""
+    ref = F.when(F.col("o_orderkey") % 2 == 0, None).when(F.col("o_orderkey") % 5 == 0, F.lit(-7)).otherwise(F.col("o_custkey"))
+    left = t.orders.select("o_orderkey", ref.cast("bigint").alias("o_ref"))
+    right = t.customer.select("c_custkey", F.when(F.col("c_custkey") > 3, F.col("c_custkey")).alias("c_ref"))
+    return joins.merge(left, right, "o_ref", "c_ref", "outer")
+
+
 @query(
     "j1_merge_shared_key",
     """SELECT coalesce(a.n_regionkey, b.n_regionkey) AS n_regionkey, a.n_name, b.r_name

@@ -73,10 +73,12 @@ def test_block_of_a_key():
     lists = [[1, 2, 3, 4], [1, 2, 3, 5], [7, 8, 9], [1, 2, 3, 4], [7, 8, 9], [1, 2, 3, 5]]
     table = pa.table({
         "node": pa.array([1, 2, 3, 1, 3, 2], pa.int64()), "label": pa.array([1, 2, 3, 1, 3, 2], pa.int64()),
-        "home": [True, False, True, False, False, False], "set": pa.array(lists, pa.list_(pa.int64())),
+        "home": [True, False, True, False, False, False], "other": [False, True, False, True, True, True], "set": pa.array(lists, pa.list_(pa.int64())),
     })
     assert set(zip(*(minhash._compare(60)(table)[c].to_pylist() for c in "ab"))) == {(1, 2)}
     assert minhash._compare(61)(table).num_rows == 0
+    both = table.slice(3, 3).set_column(2, "home", pa.array([True] * 3))
+    assert set(zip(*(minhash._compare(60)(both)[c].to_pylist() for c in "ab"))) == {(1, 2), (2, 1)}
     empty = table.filter(pa.array([True, False, True, False, False, False]))
     assert minhash._compare(60)(empty).num_rows == 0
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import ordering as o
 from millrace.operators import stats
@@ -106,3 +107,35 @@ def test_grouped_quantiles(spark, frame, size):
     want = frame.groupby("g").v.quantile([0.25, 0.5]).unstack().dropna()
     got = got.set_index("g").sort_index()
     np.testing.assert_allclose(got[["q1", "m"]].to_numpy(), want.to_numpy())
+
+
+@pytest.fixture()
+def small_tree(monkeypatch):
+    monkeypatch.setattr(o, "MAX_CHUNKS", 8)
+
+
+def test_tree_of_ranges(spark, frame, small_tree):
+    """Three levels of ranges, of a few rows each, give what one range gives."""
+    df = load(spark, frame)
+    srt = frame.sort_values("t")
+    chunked, bound = o.with_chunks(df, ["g"], ["t"], 4)
+    numbers = [r[0] for r in chunked.orderBy("g", "t").select(o.CHUNK).collect()]
+    assert numbers == sorted(numbers) and numbers[-1] < bound and len(set(numbers)) > 40
+    test_fills(spark, frame, 4, ["g"])
+    test_position_sum_average(spark, frame, 4)
+    got = stats.grouped_quantiles(df, ["g"], "w", {"q": 0.3}, 3).toPandas().set_index("g").q
+    np.testing.assert_allclose(got.sort_index(), frame.groupby("g").w.quantile(0.3).sort_index())
+
+
+def test_fifty_thousand_ranges(spark):
+    df = spark.range(0, 60_000, 1, 8).select(((F.col("id") * 7919) % 60_000).alias("t"), F.lit(1.0).alias("w"))
+    assert -(-60_000 // 1) > 50_000 > o.MAX_CHUNKS
+    out = o.running_sum(o.with_position(df, ["t"], "p", 1), "w", ["t"], "s", 1)
+    assert out.where("p <> t + 1 OR s <> p").isEmpty() and out.count() == 60_000
+
+
+def test_tree_with_ties_and_empty(spark, small_tree):
+    same = spark.range(200).select(F.lit(1).alias("t"), F.col("id").alias("u"), F.lit(2.0).alias("w"))
+    out = o.running_sum(same, "w", ["t", "u"], "s", 2)
+    assert out.where("s <> 2 * (u + 1)").isEmpty() and out.count() == 200
+    assert o.with_position(same.limit(0), ["u"], "p", 2).count() == 0

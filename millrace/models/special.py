@@ -1,4 +1,4 @@
-"""Classifiers and regressors without a built-in estimator: LDA, QDA, AdaBoost, KNN, Bayesian ridge."""
+"""Classifiers and regressors without a built-in estimator: LDA, QDA, AdaBoost, KNN, Bayesian ridge, and those of ``margin`` and ``trees``."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.semantics import col
 from millrace.models.linear import LinearFit, bayesian_ridge
+from millrace.models.margin import fit_many
+from millrace.models.trees import fit_extra_trees, fit_newton_boosting
 from millrace.operators.stats import moments
 from millrace.session import cut_lineage
 
@@ -134,6 +137,64 @@ def fit_adaboost(data: DataFrame, features: Sequence[str], classes: int, rounds:
     return Boosted(assembler, trees, weights, classes)
 
 
+@dataclass
+class Median:
+    """Weighted median of shallow trees' predictions (AdaBoost.R2, Drucker 1997)."""
+
+    assembler: PipelineModel
+    trees: list
+    weights: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.assembler.transform(df)
+        votes = []
+        for i, (tree, weight) in enumerate(zip(self.trees, self.weights)):
+            out = tree.copy().setPredictionCol(f"__vote{i}").transform(out)
+            votes.append(F.struct(F.col(f"__vote{i}").alias("p"), F.lit(float(weight)).alias("w")))
+        half = sum(self.weights) / 2
+        # The first of the sorted predictions at which half of the weight is reached.
+        start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("p"))
+
+        def step(seen, vote):
+            total = seen["w"] + vote["w"]
+            return F.struct(total.alias("w"), F.when(seen["p"].isNull() & (total >= F.lit(half * (1 - 1e-12))), vote["p"]).otherwise(seen["p"]).alias("p"))
+
+        out = out.withColumn("__votes", F.sort_array(F.array(*votes)))
+        out = out.withColumn("prediction", F.aggregate("__votes", start, step)["p"])
+        return out.drop("__votes", "__features", *[f"__vote{i}" for i in range(len(self.trees))])
+
+
+def fit_adaboost_numbers(data: DataFrame, features: Sequence[str], rounds: int = 20, depth: int = 3, rate: float = 1.0, loss: str = "linear", **_) -> Median:
+    """Trees on rows whose weights grow with their share of the largest error; ``loss`` is linear, square or exponential."""
+    assembler = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="keep")]).fit(data)
+    rows = cut_lineage(assembler.transform(data).select("__features", "__label", F.lit(1.0).alias("__w")))
+    trees, weights = [], []
+    for i in range(rounds):
+        tree = DecisionTreeRegressor(featuresCol="__features", labelCol="__label", weightCol="__w", maxDepth=depth, seed=42 + i).fit(rows)
+        scored = tree.transform(rows).select("__features", "__label", "__w", F.abs(F.col("prediction") - F.col("__label")).alias("__off"))
+        most = scored.agg(F.max("__off")).first()[0]
+        if not most:
+            return Median(assembler, [*trees, tree], [*weights, 1.0] if not trees else [*weights, max(weights) * 30])
+        share = F.col("__off") / F.lit(float(most))
+        lost = {"linear": share, "square": share * share, "exponential": 1 - F.exp(-share)}[loss]
+        got = scored.agg(F.sum(F.col("__w") * lost).alias("e"), F.sum("__w").alias("t")).first()
+        error = got["e"] / got["t"]
+        if error >= 0.5:
+            if not trees:
+                trees, weights = [tree], [1.0]
+            break
+        beta = error / (1 - error)
+        trees.append(tree)
+        weights.append(rate * math.log(1 / beta))
+        rows = scored.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), (1 - lost) * F.lit(rate)))
+        total = rows.agg(F.sum("__w"), F.count(F.lit(1))).first()
+        # weights keep the mean 1, so the numbers stay in range
+        rows = rows.withColumn("__w", F.col("__w") * F.lit(total[1] / total[0])).drop("__off")
+        if i % 5 == 4:
+            rows = cut_lineage(rows)
+    return Median(assembler, trees, weights)
+
+
 @dataclass
 class Nearest:
     train: DataFrame
@@ -165,7 +226,15 @@ def fit(algorithm: str, data: DataFrame, features: Sequence[str], labels: list[s
     if algorithm in ("lda", "qda"):
         return fit_discriminant(data, features, len(labels), algorithm == "qda")
     if algorithm == "adaboost":
-        return fit_adaboost(data, features, len(labels), **params)
+        return fit_adaboost(data, features, len(labels), **params) if labels else fit_adaboost_numbers(data, features, **params)
+    if algorithm in ("svm", "svr"):
+        if (algorithm == "svm") != bool(labels):
+            raise ValueError(f"{algorithm} does not do {'classification' if labels else 'regression'}")
+        return fit_many(data, features, len(labels or []), [params])[0]
+    if algorithm == "extra_trees":
+        return fit_extra_trees(data, features, len(labels or []), **params)
+    if algorithm == "newton_boosting":
+        return fit_newton_boosting(data, features, len(labels or []), **params)
     if algorithm == "bayesian_ridge":
         return LinearModel(bayesian_ridge(data, features, "__label"))
     if algorithm == "knn":

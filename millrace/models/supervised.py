@@ -56,7 +56,7 @@ class Trained:
         A row with a gap in a number keeps its place, with nulls for both.
         """
         out = self.model.transform(df)
-        whole = complete(df, self.features)
+        whole = F.lit(True) if ALIASES.get(self.name, self.name) in TAKES_GAPS else complete(df, self.features)
         extra = [c for c in out.columns if c not in df.columns and c not in ("prediction", "probability")]
         if self.labels:
             names = F.array(*[F.lit(v) for v in self.labels])
@@ -69,6 +69,9 @@ class Trained:
 
     def importances(self) -> DataFrame:
         """(feature, score): importance per input column, one-hot columns added up."""
+        own = self.model.inner if isinstance(self.model, Encoded) else self.model
+        if hasattr(own, "importance"):
+            return self._own_importances(own)
         last = self.model.stages[-1]
         if hasattr(last, "featureImportances"):
             values = last.featureImportances.toArray()
@@ -86,6 +89,16 @@ class Trained:
         return small_table(SparkSession.getActiveSession(), rows, "feature string, score double").orderBy(F.desc("score"), "feature")
 
 
+    def _own_importances(self, own) -> DataFrame:
+        rows = own.importance()
+        if isinstance(self.model, Encoded):
+            values, rows, at = [v for _, v in rows], [], 0
+            for f, size in _slots(self.model.pre):
+                rows.append((f, float(sum(values[at : at + size]))))
+                at += size
+        return small_table(SparkSession.getActiveSession(), rows, "feature string, score double").orderBy(F.desc("score"), "feature")
+
+
 def _slots(model: PipelineModel) -> list[tuple[str, int]]:
     """Each feature with its places in the assembled vector; a text of one category has none."""
     kept = {s.getOutputCol(): len(s.getIndices()) for s in model.stages if isinstance(s, VectorSlicer)}
@@ -101,20 +114,19 @@ ALGORITHMS = {
     "lasso": (None, R.LinearRegression, {"regParam": 1.0, "elasticNetParam": 1.0}),
     "elastic_net": (None, R.LinearRegression, {"regParam": 1.0, "elasticNetParam": 0.5}),
     "huber": (None, R.LinearRegression, {"loss": "huber", "epsilon": 1.35}),
-    "svr": (None, R.LinearRegression, {"loss": "huber", "epsilon": 1.35}),
     "random_forest": (C.RandomForestClassifier, R.RandomForestRegressor, {"numTrees": 100, "seed": 42}),
-    "extra_trees": (C.RandomForestClassifier, R.RandomForestRegressor, {"numTrees": 100, "seed": 43}),
     "bagging": (C.RandomForestClassifier, R.RandomForestRegressor, {"numTrees": 10, "featureSubsetStrategy": "all", "seed": 42}),
     "decision_tree": (C.DecisionTreeClassifier, R.DecisionTreeRegressor, {"seed": 42}),
     "gradient_boosting": (C.GBTClassifier, R.GBTRegressor, {"maxIter": 50, "seed": 42}),
-    "svm": (C.LinearSVC, None, {"maxIter": 100}),
     "naive_bayes": (C.NaiveBayes, None, {"modelType": "gaussian"}),
     "mlp": (C.MultilayerPerceptronClassifier, None, {"maxIter": 100, "seed": 42}),
 }
-#: Boosters of other packages, expressed by the built-in one.
-ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting", "catboost": "gradient_boosting", "boosting": "gradient_boosting"}
+#: Boosters of other packages are second-order boosting.
+ALIASES = {"xgboost": "newton_boosting", "lightgbm": "newton_boosting", "catboost": "newton_boosting", "boosting": "gradient_boosting"}
 #: These are trained elsewhere in the package but compared here.
-OWN = ("lda", "qda", "adaboost", "knn", "bayesian_ridge")
+OWN = ("lda", "qda", "adaboost", "knn", "bayesian_ridge", "svm", "svr", "extra_trees", "newton_boosting")
+#: Models that learn where a gap in a number goes; others predict nothing for such a row.
+TAKES_GAPS = ("newton_boosting",)
 
 
 def task_of(df: DataFrame, target: str) -> str:
@@ -206,7 +218,7 @@ def estimator(name: str, task: str, classes: int, width: int, params: dict | Non
     est = kind(featuresCol="__features", labelCol="__label", **given)
     if name == "mlp" and "layers" not in given:
         est = est.setLayers([width, 100, classes])
-    if classes > 2 and name in ("gradient_boosting", "svm"):
+    if classes > 2 and name == "gradient_boosting":
         return C.OneVsRest(classifier=est, featuresCol="__features", labelCol="__label")
     return est
 
@@ -217,7 +229,7 @@ def train(
     """Fit one algorithm on a prepared table (no gaps); every row is used."""
     task = task or task_of(df, target)
     features = tuple(features or [c for c in df.columns if c not in (target, ROW)])
-    started = time.time()
+    started, own = time.time(), ALIASES.get(algorithm, algorithm)
     labels = None
     if task == "classification":
         from millrace.operators.encoding import categories
@@ -227,16 +239,16 @@ def train(
         data = df.withColumn("__label", (F.array_position(names, col(target).cast("string")) - 1).cast("double"))
     else:
         data = df.withColumn("__label", col(target).cast("double"))
-    data = data.where(F.col("__label").isNotNull() & complete(df, features))
-    if algorithm in OWN:
+    data = data.where(F.col("__label").isNotNull() & (F.lit(True) if own in TAKES_GAPS else complete(df, features)))
+    if own in OWN:
         from millrace.models import special
 
         if set(features) <= set(numeric_columns(df)):
-            model = special.fit(algorithm, data, features, labels, params or {})
+            model = special.fit(own, data, features, labels, params or {})
         else:
             pre = Pipeline(stages=feature_stages(df, features)).fit(data)
             coded, names = _spread(pre, data)
-            model = Encoded(pre, names, special.fit(algorithm, coded, names, labels, params or {}))
+            model = Encoded(pre, names, special.fit(own, coded, names, labels, params or {}))
     else:
         pre = Pipeline(stages=feature_stages(df, features)).fit(data)
         width = 0
@@ -372,6 +384,10 @@ GRIDS = {
     "decision_tree": {"maxDepth": [3, 5, 10], "minInstancesPerNode": [1, 2, 5]},
     "gradient_boosting": {"maxIter": [20, 50], "stepSize": [0.05, 0.1, 0.2], "maxDepth": [3, 5]},
     "svm": {"regParam": [0.01, 0.1, 1.0]},
+    "svr": {"C": [0.1, 1.0, 10.0], "epsilon": [0.01, 0.1]},
+    "extra_trees": {"numTrees": [50, 100], "maxDepth": [5, 10]},
+    "newton_boosting": {"maxIter": [20, 50], "stepSize": [0.05, 0.1, 0.3], "maxDepth": [3, 5]},
+    "adaboost": {"rounds": [10, 20], "rate": [0.5, 1.0]},
     "ridge": {"regParam": [0.1, 1.0, 10.0]},
     "lasso": {"regParam": [0.1, 1.0, 10.0]},
     "elastic_net": {"regParam": [0.1, 1.0, 10.0], "elasticNetParam": [0.2, 0.5, 0.8]},
@@ -388,10 +404,13 @@ def tune(
 
     task = task or task_of(df, target)
     features = tuple(features or [c for c in df.columns if c not in (target, *key)])
-    grid = grid or GRIDS[ALIASES.get(algorithm, algorithm)]
+    own = ALIASES.get(algorithm, algorithm)
+    grid = grid or GRIDS[own]
     combos = [dict(zip(grid, values)) for values in product(*grid.values())]
     if random is not None and random < len(combos):
         combos = Random(seed).sample(combos, random)
+    if own in OWN:
+        return _tune_own(df, target, algorithm, key, combos, cv, task, features)
     from millrace.operators.encoding import categories
 
     labels = categories(df, target) if task == "classification" else None
@@ -425,6 +444,48 @@ def tune(
     return Trained(algorithm, task, target, features, labels, model, {"score": max(search.avgMetrics)}), table
 
 
+def _tune_own(df: DataFrame, target: str, algorithm: str, key, combos: list[dict], cv: int, task: str, features) -> tuple[Trained, DataFrame]:
+    """Search for models of this package. Support vector machines fit all settings and folds in the same scans."""
+    if algorithm in ("svm", "svr"):
+        means = _margin_scores(df, target, key, combos, cv, task, features)
+    else:
+        means = [cv_summary(cross_validate(df, target, algorithm, cv, key, task, c, features)).first()["mean"] for c in combos]
+    best = max(range(len(combos)), key=lambda i: means[i])
+    fitted = train(df.select(*[col(c) for c in dict.fromkeys([*features, target])]), target, algorithm, task, features, combos[best])
+    fitted.metrics = {"score": float(means[best])}
+    table = small_table(df.sparkSession, [(str(c), float(m)) for c, m in zip(combos, means)], "params string, score double")
+    return fitted, table.orderBy(F.desc("score"), "params")
+
+
+def _margin_scores(df: DataFrame, target: str, key, combos: list[dict], cv: int, task: str, features) -> list[float]:
+    """Mean over the folds of accuracy, or of R2, for each setting: one optimisation of all, one aggregate."""
+    from millrace.models.margin import fit_many
+    from millrace.operators.encoding import categories
+
+    labels = categories(df, target) if task == "classification" else []
+    label = col(target).cast("double")
+    if labels:
+        label = (F.array_position(F.array(*[F.lit(v) for v in labels]), col(target).cast("string")) - 1).cast("double")
+    data = with_folds(df, cv, key).withColumn("__label", label).where(F.col("__label").isNotNull() & complete(df, features))
+    names = list(features)
+    if not set(features) <= set(numeric_columns(df)):
+        data, names = _spread(Pipeline(stages=feature_stages(df, features)).fit(data), data)
+    from millrace.session import cut_lineage
+
+    data = cut_lineage(data.select("fold", "__label", *[col(c) for c in names]))
+    specs = [{**c, "skip": fold} for c in combos for fold in range(cv)]
+    models = fit_many(data, names, len(labels), specs, "fold")
+    worth = []
+    for i, (spec, model) in enumerate(zip(specs, models)):
+        guess = model.prediction()
+        here = F.col("fold") == spec["skip"]
+        off = F.col("__label") - guess
+        value = F.avg(F.when(here, (off == 0).cast("double"))) if labels else 1 - F.avg(F.when(here, off * off)) / F.var_pop(F.when(here, F.col("__label")))
+        worth.append(value.alias(f"v{i}"))
+    got = data.agg(*worth).first()
+    return [sum(got[j * cv + f] or 0.0 for f in range(cv)) / cv for j in range(len(combos))]
+
+
 def save_model(trained: Trained, path: str) -> None:
     """Write a trained model of any kind, with its labels and metrics."""
     store.save(trained, path)

@@ -25,7 +25,7 @@ from millrace.session import cut_lineage
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 #: Neighbours of a node beyond which they are dealt into groups before labels spread.
-HUB = 64
+HUB = 128
 #: Fingerprints of a tile that are compared as one block, and those of neighbouring tiles that meet it at once.
 HOME_BLOCK, OTHER_BLOCK = 1024, 8192
 #: Fingerprints up to which tiles of so many parts stay small enough: comparisons for each fingerprint
@@ -170,6 +170,9 @@ def _without_hubs(pairs: DataFrame) -> DataFrame:
     """
     for x, y in (("a", "b"), ("b", "a")) * 2:
         hubs = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select(x, F.ceil(F.sqrt("n")).cast("int").alias("groups"))
+        hubs = cut_lineage(hubs)
+        if hubs.isEmpty():
+            continue
         dealt = pairs.join(hubs, x, "left").withColumn("salt", F.pmod(F.xxhash64(y), F.col("groups")))
         hung = dealt.where("groups IS NOT NULL")
         least = hung.groupBy(x, "salt").agg(F.min(y).alias("least"))
@@ -185,9 +188,8 @@ def components(pairs: DataFrame) -> DataFrame:
     halves the paths; the rounds grow with the logarithm of the longest chain. Pairs are dealt
     first so that no node has many neighbours.
     """
-    edges = cut_lineage(pairs.where("a <> b").distinct())
-    if not edges.groupBy("a").count().where(F.col("count") > HUB).isEmpty() or not edges.groupBy("b").count().where(F.col("count") > HUB).isEmpty():
-        edges = _without_hubs(edges)
+    ordered = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = _without_hubs(cut_lineage(ordered.distinct()))
     edges = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
     state = cut_lineage(state.withColumn("moved", F.lit(True)))

@@ -8,9 +8,9 @@ table with probability (1 - (1 - s^ROWS)^HALVES)^2: all but 2e-5 at 0.85, all bu
 A half band that no other node has is in no shared key. So half bands are counted first, and only pairs of
 shared ones become keys.
 
-What meets under a key is verified on whole sets. First each node meets one node, the least it meets anywhere; what that
-links is one component. Then the open keys, whose nodes are not all in one component, are met: all pairs
-of a small one; of a large one each node with the least, then, in blocks, all that is not in the largest component of a
+What meets under a key is verified on whole sets. First each node meets one node, the least it meets anywhere; what these links
+join has one label. Then the open keys, whose nodes do not all have one label, are met: all pairs
+of a small one; of a large one each node with the least, then, in blocks, all that has not the commonest label of a
 half band's nodes with all of these. So every pair that shares a key is verified, or is in one component already.
 """
 
@@ -152,15 +152,28 @@ def _compare(percent: int):
         others = np.flatnonzero(other)
         entries, owner = ids[np.repeat(other, sizes)], np.repeat(np.arange(len(others)), sizes[others])
         held = np.zeros(len(ids) and int(ids.max()) + 1, bool)
+        _, group = np.unique(label, return_inverse=True)
+        parent = np.arange(len(table))
         out = []
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
         for h in np.flatnonzero(home) if len(others) else ():
             own = ids[ends[h] : ends[h + 1]]
             held[own] = True
             common = np.bincount(owner[held[entries]], minlength=len(others))
             held[own] = False
-            found = others[_near(common, sizes[others], sizes[h], percent) & (label[others] != label[h])]
-            # One link to each component is enough.
-            out += [(node[h], node[o]) for o in found[np.unique(label[found], return_index=True)[1]]]
+            found = others[_near(common, sizes[others], sizes[h], percent)]
+            # A forest of links is enough: fewer than the block has nodes, however many of them are linked.
+            for g, at in zip(*np.unique(group[found], return_index=True)):
+                x, y = root(int(group[h])), root(int(g))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((node[h], node[found[at]]))
         a, b = np.array(out, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(np.ascontiguousarray(a)), "b": pa.array(np.ascontiguousarray(b))})
 
@@ -221,7 +234,11 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, percent: i
     one = cut_lineage(shared.where(fits).groupBy("node").agg(F.min("leader.node").alias("a"), F.first("size").alias("sb")))
     first = cut_lineage(_verified(one.select("a", F.col("node").alias("b"), "sb"), sets, percent))
 
-    labelled = shared.join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # A node has one link at most so far, to a lesser one: following it twice names most of its component. Equal labels are
+    # of one component, which saves checks; different ones may be, which costs some.
+    up = lambda n, to: first.select(F.col("b").alias(n), F.col("a").alias(to))
+    named = up("node", "p").join(up("p", "q"), "p", "left").select("node", F.coalesce("q", "p").alias("label"))
+    labelled = shared.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     open_ = cut_lineage(labelled.join(labels, "key"))
     member = F.struct("node", "size", "label")
@@ -237,11 +254,8 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, percent: i
     rest = pairs.unionByName(led).distinct().join(met_once, ["a", "b"], "left_anti")
     second = cut_lineage(first.unionByName(_verified(rest, sets, percent)))
 
-    large = open_.where(F.col("n") > SMALL).select("half", "node", "size").distinct()
-    if large.isEmpty():
-        return second
-    large = large.join(components(second), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return second.unionByName(_blocks(cut_lineage(large), sets, percent))
+    large = cut_lineage(open_.where(F.col("n") > SMALL).select("half", "node", "size", "label").distinct())
+    return second if large.isEmpty() else second.unionByName(_blocks(large, sets, percent))
 
 
 def clusters(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

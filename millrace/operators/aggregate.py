@@ -47,14 +47,48 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     return ordered.limit(top) if top else ordered
 
 
+def _cells(value: str, how: str):
+    return {"mean": F.avg, "sum": F.sum, "count": F.count}[how](col(value))
+
+
+def _places(df: DataFrame, column: str) -> DataFrame:
+    """(__name, place): the different values of a column as text, in order from 1."""
+    from millrace.operators.ordering import with_position
+
+    names = df.select(col(column).cast("string").alias("__name")).where("__name is not null").distinct()
+    return with_position(names, ["__name"], "place")
+
+
+def pivot_long(df: DataFrame, row: str, column: str, value: str, how: str = "mean") -> DataFrame:
+    """The filled cells of a pivot of any width: row, column (as text), place (of the column, from 1) and value."""
+    from millrace.operators.joins import small_side
+
+    known = df.where(col(row).isNotNull() & col(column).isNotNull())
+    cells = known.groupBy(col(row).alias("row"), col(column).cast("string").alias("column")).agg(_cells(value, how).alias("value"))
+    places = small_side(_places(known, column))
+    return cells.join(places, F.col("column") == F.col("__name")).select("row", "column", F.col("place").cast("bigint").alias("place"), "value")
+
+
+def pivot_page(df: DataFrame, row: str, column: str, value: str, how: str = "mean", page: int = 0, width: int = 200) -> DataFrame:
+    """One page of a pivot of any width: all rows, and ``width`` of its columns in order from column ``page * width`` on."""
+    known = df.where(col(row).isNotNull())
+    some = _places(known, column).where((F.col("place") > page * width) & (F.col("place") <= (page + 1) * width))
+    names = sorted(r["__name"] for r in some.select("__name").collect())  # at most ``width``
+    name = F.when(col(column).cast("string").isin(names), col(column).cast("string")).alias("__column")
+    cells = known.select(col(row), name, col(value).alias("__cell"))
+    return cells.groupBy(col(row)).pivot("__column", names).agg(_cells("__cell", how)) if names else cells.select(col(row)).distinct()
+
+
 def pivot(df: DataFrame, row: str, column: str, value: str, how: str = "mean", limit: int = 200) -> DataFrame:
-    """``row`` x ``column`` table of an aggregate; the column values are read first, and are limited."""
+    """``row`` x ``column`` table of an aggregate; the column values are read first, and are limited.
+
+    :func:`pivot_long` and :func:`pivot_page` have no limit.
+    """
     found = df.select(col(column).cast("string").alias("v")).where("v is not null").distinct().limit(limit + 1).collect()
     if len(found) > limit:
-        raise ValueError(f"{column!r} has more than {limit} values; a pivot would be too wide")
+        raise ValueError(f"{column!r} has more than {limit} values; use pivot_long or pivot_page")
     names = sorted(r["v"] for r in found)
-    agg = {"mean": F.avg, "sum": F.sum, "count": F.count}[how](col(value))
-    return df.where(col(row).isNotNull()).groupBy(col(row)).pivot(column, names).agg(agg)
+    return df.where(col(row).isNotNull()).groupBy(col(row)).pivot(column, names).agg(_cells(value, how))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from millrace.functions.semantics import col, small_table
 from millrace.operators.joins import small_side
 from millrace.operators.ordering import with_position
 from millrace.operators.stats import moments, value_facts
+from millrace.session import cut_lineage
 
 #: One-hot makes one column per category, so the number of categories is limited.
 MAX_CATEGORIES = 200
@@ -23,7 +24,7 @@ def categories(df: DataFrame, column: str, most: int | None = None) -> list[str]
     values = df.select(col(column).cast("string").alias("v")).where("v is not null").distinct()
     found = (values if most is None else values.limit(most + 1)).collect()
     if most is not None and len(found) > most:
-        raise ValueError(f"{column!r} has more than {most} categories; use another encoder")
+        raise ValueError(f"{column!r} has more than {most} categories; use indicators or another encoder")
     return sorted(r["v"] for r in found)
 
 
@@ -43,6 +44,51 @@ def one_hot(
     return df.withColumns(new).drop(*columns) if new else df
 
 
+def fit_indicators(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """(value, code) of each column: its categories as text in order, from 0. Tables, so their number has no limit."""
+    return {c: cut_lineage(codes(df, c)) for c in columns}
+
+
+def indicators(
+    df: DataFrame, columns: Sequence[str], fitted: dict[str, DataFrame] | None = None, drop_first: bool = False, null_category: bool = False
+) -> DataFrame:
+    """One-hot for any number of categories: each column becomes a sparse vector, struct(size, indices, values).
+
+    The vector has a place for each category of the fitted table, but for the first if ``drop_first``, and a last one for
+    nulls if ``null_category``. A null, a category that was not fitted and a dropped one are all zeros otherwise. Categories
+    are found by a join, so no column is made for them; rows and other columns stay as they are.
+    """
+    fitted = fitted or fit_indicators(df, columns)
+    out, skip = df, int(drop_first)
+    for c in columns:
+        known = max(fitted[c].count() - skip, 0)
+        table = fitted[c].select(F.col("value").alias("__value"), F.col("code").alias("__code"))
+        out = out.withColumn("__text", col(c).cast("string")).join(small_side(table), F.col("__text") == F.col("__value"), "left")
+        at = F.when(F.col("__code") >= skip, F.col("__code") - skip)
+        at = F.when(F.col("__text").isNull(), F.lit(known)).otherwise(at) if null_category else at
+        hit = F.when(at.isNull(), F.array().cast("array<int>")).otherwise(F.array(at.cast("int")))
+        ones = F.when(at.isNull(), F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
+        vector = F.struct(F.lit(known + int(null_category)).alias("size"), hit.alias("indices"), ones.alias("values"))
+        out = out.withColumn(c, vector).drop("__text", "__value", "__code")
+    return out.select(*[col(c) for c in df.columns])
+
+
+def indicator_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The sparse structs of :func:`indicators` as vectors for a model, made by the JVM's own encoder."""
+    from pyspark.ml.feature import OneHotEncoder
+
+    out = df
+    for c in columns:
+        size = (df.select(col(c)["size"].alias("n")).first() or [0])[0]
+        # The encoder drops its last place, which stands for no category at all.
+        place = F.coalesce(F.get(col(c)["indices"], F.lit(0)), F.lit(size)).cast("double")
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": size + 1}}
+        out = out.withColumn("__place", place).withColumn("__place", F.col("__place").alias("__place", metadata=nominal))
+        model = OneHotEncoder(inputCol="__place", outputCol="__vector", dropLast=True).fit(out)
+        out = model.transform(out).withColumn(c, F.col("__vector")).drop("__place", "__vector")
+    return out.select(*[col(c) for c in df.columns])
+
+
 def codes(df: DataFrame, column: str, null_label: str | None = None) -> DataFrame:
     """``(value, code)``: position of each distinct value in sorted order, from 0."""
     text = col(column).cast("string")

@@ -8,7 +8,8 @@ searches go down the levels by joins, and are exact whatever the cut points.
 
 Skew: equal donors are counted before they are shuffled; a cell with many donors is cut into
 blocks, one with many queries into chunks, so no task gets more than BLOCK x CHUNK rows.
-Distance is Euclidean over the columns both rows have, scaled up for the missing ones.
+Distance is Euclidean over the columns both rows have, scaled up for the missing ones; or, for columns without gaps, the
+largest difference of any column.
 Of equally distant donors the smaller value goes first.
 """
 
@@ -108,13 +109,13 @@ def _matrix(lists, width: int) -> np.ndarray:
 class _Boxes:
     """Bounds and counts of cells with one parent, at most ``FAN``."""
 
-    def __init__(self, rows: pd.DataFrame, width: int):
+    def __init__(self, rows: pd.DataFrame, width: int, largest: bool = False):
         self.ids = rows["box"].to_numpy(np.int64)
         self.low, self.high = _matrix(rows["low"], width), _matrix(rows["high"], width)
         known = _matrix(rows["known"], width)
         self.some, self.full = known > 0, known == rows["kinds"].to_numpy()[:, None]
         self.counts = np.array(rows["counts"].tolist(), dtype=np.int64).reshape(len(rows), -1)
-        self.width = width
+        self.width, self.largest = width, largest
 
     def lower(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower bound of the squared distance of each query to each box, infinite where nothing compares, and whether all rows compare.
@@ -131,11 +132,13 @@ class _Boxes:
                 gap = np.fmax(np.fmax(self.low[None, :, i] - v, v - self.high[None, :, i]), 0.0) ** 2
             known = ~np.isnan(v) & self.some[None, :, i]
             sure = known & self.full[None, :, i]
-            total += np.where(sure, gap, 0.0)
+            total = np.maximum(total, gap) if self.largest else total + np.where(sure, gap, 0.0)
             shared += sure
             if not self.full[:, i].all():
                 maybe.append(np.where(known & ~sure, gap, np.inf))
         compares = shared > 0
+        if self.largest:
+            return total, compares
         with np.errstate(divide="ignore", invalid="ignore"):
             best = np.where(compares, total / shared, np.inf)
         for gap in np.sort(np.array(maybe), axis=0) if maybe else ():
@@ -195,9 +198,9 @@ def _dealt(rows: DataFrame, boxes: DataFrame, per_part: int, name: Column) -> tu
     return left, right
 
 
-def _route(queries: DataFrame, top: pd.DataFrame, levels: list[DataFrame], width: int, k: int, first: bool) -> DataFrame:
+def _route(queries: DataFrame, top: pd.DataFrame, levels: list[DataFrame], width: int, k: int, first: bool, largest: bool) -> DataFrame:
     """Queries (q, slot, x, radius) once for each leaf cell they visit; the second search leaves out those of the first."""
-    boxes = _Boxes(top, width)
+    boxes = _Boxes(top, width, largest)
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,7 +209,7 @@ def _route(queries: DataFrame, top: pd.DataFrame, levels: list[DataFrame], width
     def down(key: tuple, some: pd.DataFrame, below: pd.DataFrame) -> pd.DataFrame:
         if not len(some):  # a part that the hash left empty
             return some[["q", "slot", "x", "radius", "was", "box"]]
-        return pd.concat(list(_choose(_Boxes(below, width), some, k, first)))
+        return pd.concat(list(_choose(_Boxes(below, width, largest), some, k, first)))
 
     at = cut_lineage(queries.withColumn("was", F.lit(True)).mapInPandas(start, ROUTED))
     leaves = None
@@ -284,7 +287,7 @@ def _partition(donors: DataFrame, kinds: int, width: int, slots: int, cell_rows:
     return placed, levels
 
 
-def _search(k: int):
+def _search(k: int, largest: bool = False):
     """Up to k nearest donors of each query within one (cell, block)."""
 
     def run(queries: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
@@ -311,10 +314,10 @@ def _search(k: int):
                     for i in range(width):
                         gap = some[:, i : i + 1] - x[None, :, i]
                         known = ~np.isnan(gap)
-                        total += np.where(known, gap * gap, 0.0)
+                        total = np.maximum(total, gap * gap) if largest else total + np.where(known, gap * gap, 0.0)
                         shared += known
                     with np.errstate(divide="ignore", invalid="ignore"):
-                        d = np.where(shared > 0, np.sqrt(total * (width / shared)), np.inf)
+                        d = np.sqrt(total) if largest else np.where(shared > 0, np.sqrt(total * (width / shared)), np.inf)
                     # donors are in value order, so a stable sort breaks distance ties by value
                     take = min(k, d.shape[1])
                     if take < d.shape[1]:
@@ -338,7 +341,7 @@ def _search(k: int):
 FOUND = "q bigint, slot int, d double, v double, w bigint"
 
 
-def _visit(routed: DataFrame, donors: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+def _visit(routed: DataFrame, donors: DataFrame, sizes: DataFrame, k: int, largest: bool) -> DataFrame:
     """Run the search where routed queries and donors meet, in blocks and chunks of bounded size."""
     asked = routed.groupBy("box").agg(F.count(F.lit(1)).alias("n")).join(sizes, "box")
     plan = asked.select("box", F.ceil(F.col("kinds") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
@@ -356,18 +359,20 @@ def _visit(routed: DataFrame, donors: DataFrame, sizes: DataFrame, k: int) -> Da
         .select("box", "block", "chunk", "x", "values", "w")
     )
     keys = ["box", "block", "chunk"]
-    return queries.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(_search(k), FOUND)
+    return queries.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(_search(k, largest), FOUND)
 
 
 def nearest(
-    queries: DataFrame, donors: DataFrame, width: int, k: int, cell_rows: int | None = None
+    queries: DataFrame, donors: DataFrame, width: int, k: int, cell_rows: int | None = None, largest: bool = False
 ) -> DataFrame:
     """``(q, slot, near)``: the k nearest donors that have value number ``slot``.
 
     ``queries``: q bigint, slot int, x array<double>. ``donors``: x and values, both array<double>,
-    NaN where missing. ``near`` is an array of (d, v, w) in order, whose weights reach k. Without donors there is no row.
+    NaN where missing, and w bigint if a row stands for several. ``near`` is an array of (d, v, w) in order, whose weights reach k. Without donors there is no row.
+    ``largest``: the distance is the largest difference of any column; x has no gaps then.
     """
-    donors = cut_lineage(donors.groupBy("x", "values").agg(F.count(F.lit(1)).alias("w")))
+    weight = F.sum("w") if "w" in donors.columns else F.count(F.lit(1))
+    donors = cut_lineage(donors.groupBy("x", "values").agg(weight.alias("w")))
     queries = cut_lineage(queries.select("q", "slot", "x"))
     kinds = donors.count()
     if not kinds:
@@ -375,13 +380,13 @@ def nearest(
     placed, levels = _partition(donors, kinds, width, len(donors.first()["values"]), cell_rows or CELL_ROWS)
     top = pd.DataFrame([r.asDict() for r in levels[0].collect()])  # at most FAN rows
     sizes = reduce(DataFrame.unionByName, [level.select("box", "kinds") for level in levels])
-    first = _route(queries.withColumn("radius", F.lit(None).cast("double")), top, levels[1:], width, k, True)
-    hits = _visit(first, placed, sizes, k)
+    first = _route(queries.withColumn("radius", F.lit(None).cast("double")), top, levels[1:], width, k, True, largest)
+    hits = _visit(first, placed, sizes, k, largest)
     if len(top) > 1 or len(levels) > 1:
         hits = cut_lineage(hits)
         radius = _merge(hits, k).select("q", "slot", _reach(k).alias("radius"))
-        second = _route(queries.join(radius, ["q", "slot"], "left"), top, levels[1:], width, k, False)
-        hits = hits.unionByName(_visit(second, placed, sizes, k))
+        second = _route(queries.join(radius, ["q", "slot"], "left"), top, levels[1:], width, k, False, largest)
+        hits = hits.unionByName(_visit(second, placed, sizes, k, largest))
     return _merge(hits, k)
 
 

@@ -296,6 +296,23 @@ def _(t):
     return agg.pivot(t.lineitem, "l_returnflag", "l_linestatus", "l_quantity", "mean")
 
 
+@query(
+    "a4_pivot_long",
+    f"""SELECT l_returnflag AS "row", CAST(l_partkey AS VARCHAR) AS "column", dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) AS place,
+ {r("avg(l_quantity)")} AS "value" FROM lineitem GROUP BY l_returnflag, l_partkey""",
+)
+def _(t):
+    return agg.pivot_long(t.lineitem, "l_returnflag", "l_partkey", "l_quantity", "mean")
+
+
+@query(
+    "a4_pivot_page",
+    "SELECT l_suppkey, " + ", ".join(f"""{r(f"sum(l_quantity) FILTER (l_linenumber = {i})")} AS "{i}\"""" for i in (4, 5, 6)) + " FROM lineitem GROUP BY 1",
+)
+def _(t):
+    return agg.pivot_page(t.lineitem, "l_suppkey", "l_linenumber", "l_quantity", "sum", page=1, width=3)
+
+
 @query(
     "a5_null_profile",
     union_all(

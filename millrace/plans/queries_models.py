@@ -64,6 +64,39 @@ def _(t):
     return selection.mutual_information(t.lineitem, ["l_quantity", "l_extendedprice"], "l_linenumber", "classification", bins=4)
 
 
+def _psi_sql(n):
+    z = f"(1.0 / (({n} + 10.0) * ({n} + 10.0)))"
+    series = f"ln({n} + 10.0) - 0.5 / ({n} + 10.0) - {z} * (1.0 / 12 - {z} * (1.0 / 120 - {z} * (1.0 / 252 - {z} * (1.0 / 240 - {z} / 132.0))))"
+    return f"({series} - " + " - ".join(f"1.0 / ({n} + {i})" for i in range(10)) + ")"
+
+
+def _near_sql(feature, x, y, numbers):
+    """Every customer against every other: the radius, then the rows within it on the axes."""
+    same = "true" if numbers else "a.y = b.y"
+    gap = "greatest(abs(a.x - b.x), abs(a.y - b.y))" if numbers else "abs(a.x - b.x)"
+    inside = lambda c: f"count(*) FILTER (abs(b.{c} - a.{c}) <= greatest(a.r - (abs(a.{c}) + a.r) * 1e-12, 0))"
+    many = f", {inside('y')} AS my" if numbers else ""
+    last = _psi_sql("my") if numbers else _psi_sql("ny")
+    return f"""SELECT '{feature}' AS feature, {r(f"greatest(avg({_psi_sql('kk')} - {_psi_sql('mx')} - {last}) + {_psi_sql('CAST(count(*) AS DOUBLE)')}, 0)")} AS score FROM (
+ WITH p AS (SELECT c_custkey AS i, {x} AS x, {y} AS y FROM customer),
+ c AS (SELECT *, count(*) OVER ({'' if numbers else 'PARTITION BY y'}) AS ny FROM p),
+ a AS (SELECT a.i, a.x, a.y, a.ny, least(3, a.ny - 1) AS kk, list_sort(list({gap}))[least(3, a.ny - 1) + 1] AS r FROM c a JOIN c b ON {same} WHERE a.ny > 1 GROUP BY a.i, a.x, a.y, a.ny)
+ SELECT a.i, a.kk, a.ny, {inside('x')} AS mx{many} FROM a, c b WHERE b.ny > 1 GROUP BY a.i, a.kk, a.ny)"""
+
+
+@query("v4_neighbour_information_classes", _near_sql("c_acctbal", "c_acctbal", "c_mktsegment", False))
+def _(t):
+    return selection.neighbour_information(t.customer, ["c_acctbal"], "c_mktsegment", "classification")
+
+
+@query(
+    "v4_neighbour_information_numbers",
+    _near_sql("c_nationkey", "(c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER ()", "(c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()", True),
+)
+def _(t):
+    return selection.neighbour_information(t.customer, ["c_nationkey"], "c_acctbal", "regression")
+
+
 @query("v5_forest_importance")
 def _(t):
     return selection.forest_importance(t.lineitem, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "regression", trees=10)

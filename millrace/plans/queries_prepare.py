@@ -613,6 +613,17 @@ def _(t):
     return encoding.one_hot(gappy(t).select(*KEY, "l_returnflag"), ["l_returnflag"], drop_first=True)
 
 
+@query(
+    "e1_indicators",
+    """SELECT o_orderkey, (SELECT count(DISTINCT o_custkey) FROM orders) AS size,
+ dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS place, CAST(1.0 AS DOUBLE) AS value FROM orders""",
+)
+def _(t):
+    out = encoding.indicators(t.orders.select("o_orderkey", "o_custkey"), ["o_custkey"])
+    at = lambda f: F.get(F.col("o_custkey")[f], F.lit(0))
+    return out.select("o_orderkey", F.col("o_custkey.size").cast("bigint").alias("size"), at("indices").cast("bigint").alias("place"), at("values").alias("value"))
+
+
 @query(
     "e2_label_encode",
     f"SELECT {K}, CAST(dense_rank() OVER (ORDER BY coalesce(l_returnflag, 'nan')) - 1 AS INTEGER) AS l_returnflag FROM {GAPPY}",

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.models import evaluate, interpret, isolation, linear, supervised, unsupervised
+from millrace.models import attribution, evaluate, interpret, isolation, linear, supervised, unsupervised
 from millrace.operators import missing, neighbours, sampling, selection
 from millrace.plans import compose
 from millrace.plans.catalog import query, r, union_all
@@ -499,6 +499,13 @@ def _(t):
     return interpret.global_attribution(interpret.shapley(fitted, data, ["doc_id"], 4, 20))
 
 
+@query("i3_tree_attribution")
+def _(t):
+    data = graded(t).select("doc_id", *NUMERIC, "quality")
+    fitted = supervised.train(data.drop("doc_id"), "quality", "random_forest", "classification", NUMERIC, {"numTrees": 10})
+    return interpret.global_attribution(attribution.tree_shapley(fitted, data, ["doc_id"]))
+
+
 @query("i4_local_surrogate")
 def _(t):
     data = graded(t).select(*NUMERIC, "quality")

@@ -28,6 +28,7 @@ from millrace.functions.semantics import col
 from millrace.llm.blocks import mixed, word_hashes
 from millrace.llm.common import fresh, lower_words, steps, text_bytes
 from millrace.llm.near import components
+from millrace.operators.joins import small_side
 from millrace.session import cut_lineage
 
 SHINGLE = 5
@@ -131,7 +132,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A set that meets many others is copied once for ``GROUP_BYTES`` of them, which spreads it over tasks.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.sum("sb") * 8 / GROUP_BYTES).cast("int").alias("parts"))
-    heavy = groups.where("parts > 1")
+    heavy = small_side(groups.where("parts > 1"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0))
     dealt = pairs.select("a", "b").join(heavy, "a", "left").select("a", "b", part.alias("part"))
     # A group may be empty by the hash; that costs a row.
@@ -191,15 +192,15 @@ def _blocks(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tops = tops.where("all > most").select(
         "half", "top", F.ceil((F.col("all") - F.col("most")) * 8 / HOME_BYTES).cast("int").alias("homes"), F.ceil(F.col("all") * 8 / OTHER_BYTES).cast("int").alias("others")
     )
-    rows = large.join(tops, "half")
+    rows = large.join(small_side(tops), "half")
     name, apart, alone = F.xxhash64("node"), F.col("label") != F.col("top"), (F.col("homes") == 1) & (F.col("others") == 1)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = lambda i, j, home, other: ("half", "node", "label", i.alias("i"), j.alias("j"), home.alias("home"), other.alias("other"))
+    every = lambda n, place: F.transform(F.sequence(F.lit(0), F.col(n) - 1), place)
+    place = lambda i, j, home, other: F.struct(i.alias("i"), j.alias("j"), home.alias("home"), other.alias("other"))
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
-    whole = rows.where(alone).select(*row(zero, zero, apart, yes))
-    home = rows.where(~alone & apart).select(*row(F.pmod(name, F.col("homes")).cast("int"), every("others"), yes, no))
-    other = rows.where(~alone).select(*row(every("homes"), F.pmod(name, F.col("others")).cast("int"), no, yes))
-    units = whole.unionByName(home).unionByName(other).join(sets, "node")
+    home = every("others", lambda j: place(F.pmod(name, F.col("homes")).cast("int"), j, yes, no))
+    other = every("homes", lambda i: place(i, F.pmod(name, F.col("others")).cast("int"), no, yes))
+    places = F.when(alone, F.array(place(zero, zero, apart, yes))).when(apart, F.concat(home, other)).otherwise(other)
+    units = rows.select("half", "node", "label", F.explode(places).alias("at")).select("half", "node", "label", "at.*").join(sets, "node")
     return units.groupBy("half", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
@@ -207,7 +208,7 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     """key, node, size, half (the first half band of the key), n and leader (the least node) of each key of several ``nodes`` (node, size, halves)."""
     rows = nodes.select("node", "size", F.posexplode("halves").alias("place", "value"))
     twice = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    kept = rows.join(twice, "value")
+    kept = rows.join(small_side(twice), "value")
     side = lambda first: F.collect_list(F.when((F.col("place") < HALVES) == F.lit(first), F.col("value")))  # noqa: E731  # at most HALVES each
     both = kept.groupBy("node").agg(F.first("size").alias("size"), side(True).alias("u"), side(False).alias("v"))
     keys = both.select("node", "size", F.explode("u").alias("half"), "v").select("node", "size", "half", F.explode("v").alias("y"))
@@ -225,7 +226,7 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, percent: i
     nodes = cut_lineage(nodes)
     shared = cut_lineage(shared_keys(nodes))
     # One text of each node that is met; sets are worked out again for these alone. Copies of a text differ by id, so none is a hot key.
-    met = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("one.*").distinct()
+    met = small_side(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("one.*").distinct())
     texts = docs.select(F.coalesce(col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _key().alias("key"), text_bytes().alias("text"))
     sets = texts.join(met, ["id", "key"], "left_semi").select("text").mapInArrow(_sets(shingle), "node long, set array<long>")
     sets = cut_lineage(sets.dropDuplicates(["node"]))
@@ -237,22 +238,22 @@ def links(docs: DataFrame, marked: DataFrame, shingle: int = SHINGLE, percent: i
     # A node has one link at most so far, to a lesser one: following it twice names most of its component. Equal labels are
     # of one component, which saves checks; different ones may be, which costs some.
     up = lambda n, to: first.select(F.col("b").alias(n), F.col("a").alias(to))
-    named = up("node", "p").join(up("p", "q"), "p", "left").select("node", F.coalesce("q", "p").alias("label"))
+    named = small_side(up("node", "p").join(up("p", "q"), "p", "left").select("node", F.coalesce("q", "p").alias("label")))
     labelled = shared.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labels = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    open_ = cut_lineage(labelled.join(labels, "key"))
+    open_ = cut_lineage(labelled.join(small_side(labels), "key"))
     member = F.struct("node", "size", "label")
     small = open_.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("all"))  # at most SMALL
     pairs = small.select(F.posexplode("all").alias("at", "x"), "all").select("x", F.explode(F.slice("all", F.col("at") + 2, SMALL)).alias("y"))
     pairs = pairs.where((F.col("x.label") != F.col("y.label")) & _may(F.col("x.size"), F.col("y.size"), percent))
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("y.size").alias("sb"))
-    # The least node of a large key is a member of it, so its label is known from its own row; what has it needs no check.
+    # A pair of one label needs no check; a least node that is not in ``named`` is its own label.
     led = open_.where((F.col("n") > SMALL) & fits).select(F.col("leader.node").alias("a"), F.col("node").alias("b"), F.col("size").alias("sb"), "label")
-    leaders = open_.where(F.col("node") == F.col("leader.node")).select(F.col("node").alias("a"), F.col("label").alias("label_a")).distinct()
-    led = led.distinct().join(leaders, "a").where("label <> label_a").select("a", "b", "sb")
+    led = led.distinct().join(named.select(F.col("node").alias("a"), F.col("label").alias("label_a")), "a", "left")
+    led = led.where(F.col("label") != F.coalesce("label_a", "a")).select("a", "b", "sb")
     met_once = one.select("a", F.col("node").alias("b"))
     rest = pairs.unionByName(led).distinct().join(met_once, ["a", "b"], "left_anti")
-    second = cut_lineage(first.unionByName(_verified(rest, sets, percent)))
+    second = first.unionByName(_verified(rest, sets, percent))
 
     large = cut_lineage(open_.where(F.col("n") > SMALL).select("half", "node", "size", "label").distinct())
     return second if large.isEmpty() else second.unionByName(_blocks(large, sets, percent))

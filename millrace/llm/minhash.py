@@ -38,7 +38,7 @@ HALVES, ROWS = 12, 3
 #: Nodes of a key up to which all its pairs are met one by one.
 SMALL = 12
 #: Bytes of sets that meet one node, and those of a block of a large key and of what meets it.
-GROUP_BYTES, HOME_BYTES, OTHER_BYTES = 256 << 10, 1 << 20, 2 << 20
+GROUP_BYTES, HOME_BYTES, OTHER_BYTES = 256 << 10, 2 << 20, 2 << 20
 #: Stands for a row without an id where rows are found again.
 NO_ID = -(1 << 63)
 

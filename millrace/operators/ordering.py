@@ -112,8 +112,9 @@ def _tree(df: DataFrame, keys: Sequence[str], wanted: int, rows: int) -> tuple[D
     return df, chunks
 
 
-def _local(partition_by: Sequence[str], order_by: Sequence[str]):
-    return Window.partitionBy(*[col(p) for p in partition_by], F.col(CHUNK)).orderBy(*[col(o) for o in order_by])
+def _local(partition_by: Sequence[str], order_by: Sequence[str], forward: bool = True):
+    order = [col(o).asc() if forward else col(o).desc() for o in order_by]
+    return Window.partitionBy(*[col(p) for p in partition_by], F.col(CHUNK)).orderBy(*order)
 
 
 def _before(table: DataFrame, names: Sequence[str], chunks: int, kind: str = "sum", forward: bool = True) -> DataFrame:
@@ -122,19 +123,17 @@ def _before(table: DataFrame, names: Sequence[str], chunks: int, kind: str = "su
     ``table`` has one row a chunk. More than MAX_CHUNKS of them go up in groups of so many, get what is before their group
     from the level above, and take it down: no window has more rows than that. Edges are structs in sort order.
     """
-    if forward:
-        rows, nearest, outer = (Window.unboundedPreceding, -1), F.last, F.max
-    else:
-        rows, nearest, outer = (1, Window.unboundedFollowing), F.first, F.min
-    of = lambda n: F.sum(col(n)) if kind == "sum" else nearest(col(n), ignorenulls=True)
+    order, outer = (F.asc(CHUNK), F.max) if forward else (F.desc(CHUNK), F.min)
+    rows = (Window.unboundedPreceding, -1)
+    of = lambda n: F.sum(col(n)) if kind == "sum" else F.last(col(n), ignorenulls=True)
     if chunks <= MAX_CHUNKS:
-        window = Window.partitionBy(F.lit(0)).orderBy(CHUNK).rowsBetween(*rows)
+        window = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(*rows)
         return table.select(CHUNK, *[of(n).over(window).alias(n) for n in names])
     grouped = table.withColumn("__group", F.floor(F.col(CHUNK) / MAX_CHUNKS).cast("bigint"))
     whole = grouped.groupBy("__group").agg(*[(F.sum(col(n)) if kind == "sum" else outer(col(n))).alias(n) for n in names])
     above = _before(whole.withColumnRenamed("__group", CHUNK), names, -(-chunks // MAX_CHUNKS), kind, forward)
     above = above.select(F.col(CHUNK).alias("__group"), *[col(n).alias(f"__above_{n}") for n in names])
-    window = Window.partitionBy("__group").orderBy(CHUNK).rowsBetween(*rows)
+    window = Window.partitionBy("__group").orderBy(order).rowsBetween(*rows)
     here = grouped.select(CHUNK, "__group", *[of(n).over(window).alias(n) for n in names]).join(above, "__group")
 
     def both(n):
@@ -226,12 +225,9 @@ def _nearest(
     chunked: DataFrame, chunks: int, values: dict[str, Column], partition_by, order_by, forward: bool
 ) -> DataFrame:
     """Add, under each name in ``values``, the nearest non-null value at or before (after) the row."""
-    window = _local(partition_by, order_by)
-    if forward:
-        window, take = window.rowsBetween(Window.unboundedPreceding, 0), F.last
-    else:
-        window, take = window.rowsBetween(0, Window.unboundedFollowing), F.first
-    here = {n: take(v, ignorenulls=True).over(window) for n, v in values.items()}
+    # Backward is forward in the reverse order: a frame that ends with the partition is evaluated anew for each row.
+    window = _local(partition_by, order_by, forward).rowsBetween(Window.unboundedPreceding, 0)
+    here = {n: F.last(v, ignorenulls=True).over(window) for n, v in values.items()}
     if chunks == 1:
         return chunked.withColumns(here)
     out = chunked.withColumns({f"__here_{n}": c for n, c in here.items()})

@@ -46,6 +46,27 @@ def test_fills(spark, frame, size, by):
         np.testing.assert_allclose(got, want.to_numpy(), atol=1e-9)
 
 
+@pytest.mark.parametrize("fill", [o.backward_fill, o.interpolate])
+def test_backward_is_one_pass(spark, fill):
+    """No frame ends with the partition: Spark evaluates such a frame anew for each row, the square of a range's rows."""
+    df = spark.range(400_000).select("id", F.when(F.col("id") % 1000 == 999, F.col("id").cast("double")).alias("v"))
+    for size in (None, 150_000):
+        out = fill(df, ["v"], ["id"], (), size)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+        want = F.when(F.col("id") < 999, 999.0).otherwise(F.col("id")) if fill is o.interpolate else F.col("id") + 999 - F.col("id") % 1000
+        if fill is o.backward_fill:
+            assert out.where(~F.col("v").eqNullSafe(want.cast("double"))).isEmpty()
+
+
+def test_backward_order_of_gaps_and_nan(spark):
+    """Nulls come first and NaN last in the order, backward too."""
+    rows = [(None, 1.0), (float("nan"), 5.0), (float("inf"), None), (0.0, None), (-1.0, 2.0)]
+    df = spark.createDataFrame(rows, "t double, v double")
+    for size in (None, 2):
+        got = {str(r["t"]): r["v"] for r in o.backward_fill(df, ["v"], ["t"], (), size).collect()}
+        assert got == {"None": 1.0, "-1.0": 2.0, "0.0": 5.0, "inf": 5.0, "nan": 5.0}
+
+
 @pytest.mark.parametrize("size", [None, 60])
 def test_position_sum_average(spark, frame, size):
     df = load(spark, frame)

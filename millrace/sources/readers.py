@@ -126,10 +126,16 @@ def read_json(spark: SparkSession, path, lines: bool = False, schema=None) -> Da
 
 
 def read_text(spark: SparkSession, path) -> DataFrame:
-    """Text as CSV if it parses to more than one column, else one row per file in ``text``."""
-    table = spark.read.options(header=True, inferSchema=True, escape='"').csv(path)
-    if len(table.columns) > 1:
-        return nan_to_null(table)
+    """Text as CSV if it parses to more than one column, else one row per file in ``text``.
+
+    The first line tells, as for the CSV source, which would open every file to infer types before that.
+    """
+    lines = spark.read.text(path)
+    first = lines.where(F.length(F.trim("value")) > 0).first()
+    if first is not None:
+        head = spark.range(0, 1, 1, 1).select(F.schema_of_csv(F.lit(first["value"]), {"escape": '"'})).first()[0]
+        if len(T.DataType.fromDDL(head).fields) + len(lines.columns) > 2:
+            return nan_to_null(spark.read.options(header=True, inferSchema=True, escape='"').csv(path))
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
 
 

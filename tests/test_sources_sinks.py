@@ -1,10 +1,12 @@
 """Sources and sinks against files written by the test, and round trips."""
 
+import pathlib
 from datetime import datetime
 
 import pytest
 
 from millrace.operators import scaling
+from millrace.session import checkpoint_folder
 from millrace.sources import readers, sinks
 
 
@@ -77,6 +79,55 @@ def test_raw_and_text(spark, tmp_path):
     assert readers.read_any(spark, str(tmp_path / "j.json")).count() == 2
 
 
+def _jobs(spark, action):
+    """What ``action`` returns, and the tasks of its jobs."""
+    context, group = spark.sparkContext, "jobs-of-a-test"
+    context.setJobGroup(group, group)
+    out = action()
+    status = context.statusTracker()
+    stages = [s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    return out, sum(status.getStageInfo(s).numTasks for s in stages if status.getStageInfo(s))
+
+
+def test_text_in_many_files_is_opened_once(spark, tmp_path):
+    """Whether text is a table is told by its first line, not by opening and listing each file for types."""
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        for i in range(60):
+            (tmp_path / folder / f"{i}.txt").write_text(f"text {folder}{i}\nof two lines\n")
+    texts, tasks = _jobs(spark, lambda: readers.read_text(spark, f"{tmp_path}/*"))
+    assert tasks <= 4
+    assert texts.columns == ["text"] and texts.distinct().count() == 120
+
+
+@pytest.mark.parametrize(
+    "text, columns",
+    [('\n  \nid,"a ""b"", c"\n1,x\n', ["id", 'a "b", c']), ('"one, column"\nx\n', ["text"]), ("", ["text"]), ("\n \n", ["text"]), ("a,,\n1,2,3\n", ["a", "_c1", "_c2"])],
+)
+def test_text_or_table(spark, tmp_path, text, columns):
+    (tmp_path / "t.txt").write_text(text)
+    path = str(tmp_path / "t.txt")
+    got = readers.read_text(spark, path)
+    assert got.columns == columns
+    table = spark.read.options(header=True, inferSchema=True, escape='"').csv(path)
+    assert (len(table.columns) > 1) == (got.columns != ["text"])
+
+
+def test_texts_are_written_by_many_tasks(spark, tmp_path):
+    """Files of one text each lie in folders that one task wrote, not all in one folder by one task."""
+    from millrace.plans import queries_order as q
+    from millrace.plans.catalog import QUERIES
+
+    spark.createDataFrame([(f"name {i % 700}",) for i in range(2_100)], "s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    before = {p for p in pathlib.Path(checkpoint_folder(spark).removeprefix("file:")).glob("trip-*")}
+    got = QUERIES["s4_text"](spark, str(tmp_path)).collect()
+    assert sorted((r["text"], r["n"]) for r in got) == sorted((f"name {i}", 3) for i in range(700))
+    (trip,) = {p for p in pathlib.Path(checkpoint_folder(spark).removeprefix("file:")).glob("trip-*")} - before
+    sizes = [len(list(p.glob("*.txt"))) for p in trip.glob("part=*")]
+    assert sum(sizes) == 2_100 and len(sizes) > 1 and max(sizes) <= q.FILES_PER_FOLDER
+
+
 def test_many_files(spark, tmp_path):
     (tmp_path / "good.csv").write_text("a,b\n1,2\n")
     (tmp_path / "bad.xyz").write_text("?")

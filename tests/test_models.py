@@ -239,3 +239,35 @@ def test_only_rows_with_gaps_meet_the_answers(spark):
     assert out.count() == 400 and out.where("b IS NULL").count() == 0
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("Join")
+
+
+def _costly(spark):
+    """A table whose feature is dear to make, and how often it was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def dear(v):
+        made.add(1)
+        return float(v % 10)
+
+    rows = spark.range(200).select("id", F.udf(dear, "double")("id").alias("x"), (F.col("id") % 10 > 4).cast("int").alias("y"))
+    return rows, made
+
+
+def test_training_makes_its_rows_once(spark):
+    rows, made = _costly(spark)
+    fitted = supervised.train(rows.drop("id"), "y", "decision_tree", "classification", ["x"])
+    assert made.value <= 400  # once for the filter of gaps, once for the rows
+    assert fitted.predict(rows).where("prediction <> y").isEmpty()
+
+
+def test_search_makes_its_rows_once(spark):
+    rows, made = _costly(spark)
+    best, table = supervised.tune(rows, "y", "decision_tree", ["id"], {"maxDepth": [1, 2]}, 3, task="classification", features=["x"])
+    assert made.value <= 400  # once for the filter of gaps, once for the rows
+    assert {r["score"] for r in table.collect()} == {1.0} and best.metrics["score"] == 1.0
+
+
+def test_search_names_whole_layers(spark):
+    rows, _ = _costly(spark)
+    table = supervised.tune(rows, "y", "mlp", ["id"], {"layers": [[3]], "maxIter": [5]}, 2, task="classification", features=["x"])[1]
+    assert [r["params"] for r in table.collect()] == ["{'layers': [1, 3, 2], 'maxIter': 5}"]

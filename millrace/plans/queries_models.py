@@ -11,7 +11,7 @@ from millrace.operators import missing, neighbours, sampling, selection
 from millrace.plans import compose
 from millrace.plans.catalog import query, r, union_all
 from millrace.plans.queries_basic import DOUBLED, GAPPY, NUMBERS, doubled, gappy
-from millrace.session import checkpoint_folder
+from millrace.session import checkpoint_folder, cut_lineage
 
 # --- feature selection ------------------------------------------------------------------------
 
@@ -164,15 +164,18 @@ def _(t):
 
 
 def graded(t):
-    """documents with a quality label and simple features of their text."""
-    docs = t.documents.join(t.labels, "doc_id")
+    """documents with a quality label and simple features of their text.
+
+    Models pass over their rows many times, so the texts are read once and the features kept; texts are not shuffled.
+    """
     words = F.size(F.split("text", r"\s+"))
     lines = F.size(F.split("text", "\n"))
-    digits = F.length(F.regexp_replace("text", r"\D", ""))
-    return docs.select(
+    digits = F.length(F.regexp_replace("text", r"\D+", ""))
+    told = t.documents.select(
         "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"), words.cast("double").alias("words"),
-        lines.cast("double").alias("lines"), (digits / F.greatest(F.length("text"), F.lit(1))).alias("digit_share"), "quality",
+        lines.cast("double").alias("lines"), (digits / F.greatest(F.length("text"), F.lit(1))).alias("digit_share"),
     )
+    return cut_lineage(told.join(t.labels, "doc_id").select("doc_id", "lang", "n_chars", "words", "lines", "digit_share", "quality"))
 
 
 def valued(t):

@@ -271,3 +271,22 @@ def test_search_names_whole_layers(spark):
     rows, _ = _costly(spark)
     table = supervised.tune(rows, "y", "mlp", ["id"], {"layers": [[3]], "maxIter": [5]}, 2, task="classification", features=["x"])[1]
     assert [r["params"] for r in table.collect()] == ["{'layers': [1, 3, 2], 'maxIter': 5}"]
+
+
+def test_graded_reads_texts_once(spark, tmp_path):
+    """Features of documents are kept; no later pass parses or shuffles texts. Odd texts count as before."""
+    from millrace.plans.catalog import Tables
+    from millrace.plans.queries_models import graded
+
+    texts = ["", " a 1\n22 b", None, "\n\n9", "x" * 50 + "7"]
+    spark.createDataFrame([(i, "en", x, 3) for i, x in enumerate(texts)], "doc_id bigint, lang string, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(9)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = graded(Tables(spark, str(tmp_path)))
+    assert got.columns == ["doc_id", "lang", "n_chars", "words", "lines", "digit_share", "quality"]
+    plan = got._jdf.queryExecution().executedPlan().toString().lower()
+    assert "text" not in plan and "regexp" not in plan
+    found = {r["doc_id"]: (r["words"], r["lines"], r["digit_share"]) for r in got.collect()}
+    words, lines = F.size(F.split("text", r"\s+")), F.size(F.split("text", "\n"))
+    share = F.length(F.regexp_replace("text", r"\D", "")) / F.greatest(F.length("text"), F.lit(1))
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", words.cast("double"), lines.cast("double"), share)
+    assert found == {r[0]: tuple(r[1:]) for r in plain.collect()} and len(found) == 5

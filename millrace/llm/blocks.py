@@ -22,6 +22,8 @@ from millrace.llm.common import text_bytes
 
 #: Bytes of text in a block, and of keys that a bucket gets from the blocks, as a rule.
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
+#: Words that are named at once, few enough for a processor's cache.
+HASHED = 1 << 14
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,6 +47,8 @@ def word_hashes(words: list[bytes], seed: int) -> np.ndarray:
     """A 64-bit name of each word: a sum of its bytes times numbers that hang on the place, scrambled."""
     if not words:
         return np.zeros(0, np.uint64)
+    if len(words) > HASHED:
+        return np.concatenate([word_hashes(words[i : i + HASHED], seed) for i in range(0, len(words), HASHED)])
     data, starts = joined(words, b" ")
     lengths = np.diff(np.concatenate((starts, [len(data)])))
     place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)

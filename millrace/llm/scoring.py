@@ -33,6 +33,8 @@ DEPTH = 6
 TOP = DEPTH - 2
 #: Blocks of documents for each bucket of grams, and entries of a table that numbers grams directly.
 BLOCKS_PER_BUCKET, DIRECT = 4, 48 << 20
+#: Positions of a block whose grams are put together at once, few enough for a processor's cache.
+CHUNK = 1 << 16
 END = b"\n"
 _REQUEST = "block int, bucket int, words binary, words_n binary, grams binary, grams_n binary"
 _UNIFIED = "kind int, block int, bucket int, found binary, more binary, key long, n0 long, n1 long, weighted double, tokens long, known long"
@@ -48,13 +50,20 @@ def stored(df: DataFrame) -> DataFrame:
 
 def packed(numbers: np.ndarray) -> bytes:
     """64-bit numbers as compressed planes of their bytes, first all low ones."""
-    return zlib.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    numbers = numbers.astype(np.uint64)
+    planes = np.zeros((8, len(numbers)), np.uint8)
+    for k in range((int(numbers.max(initial=0)).bit_length() + 7) // 8):
+        planes[k] = numbers >> np.uint64(8 * k)
+    return zlib.compress(planes, 1)
 
 
 def opened(data: bytes) -> np.ndarray:
     """The numbers of ``packed``."""
     planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+    numbers = planes[0].astype(np.uint64)
+    for k in np.flatnonzero(planes[1:].any(axis=1)).tolist():
+        numbers |= planes[k + 1].astype(np.uint64) << np.uint64(8 * k + 8)
+    return numbers
 
 
 def packed_steps(ascending: np.ndarray) -> bytes:
@@ -93,6 +102,52 @@ def gram_ids(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, codes
 
 
+def sorted_grams(data: np.ndarray, inside: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams' codes in order, and for each place that is ``inside`` the number of its gram and its row.
+
+    ``inside`` tells of each position from ``depth`` on whether it counts, ``rows`` are the rows of those that do. Places
+    come in order of gram and row: one sort of gram and row in a single number, with bytes numbered two by two. Where
+    that number would need more than 64 bits, places come as in the data, by ``gram_ids``.
+    """
+    seen = np.zeros(256, bool)
+    seen[data] = True
+    letters = np.flatnonzero(seen).astype(np.uint64)
+    letter = (np.cumsum(seen) - 1).astype(np.uint8)
+    pair = (data[1:].astype(np.uint16) << 8) | data[:-1]
+    seen = np.zeros(1 << 16, bool)
+    seen[pair] = True
+    pairs = np.flatnonzero(seen).astype(np.uint64)
+    pair = (np.cumsum(seen) - 1).astype(np.uint16)[pair]
+    n, row_bits = len(data) - depth, int(rows.max(initial=0)).bit_length()
+    # What a gram is made of, highest first: numbers by place, how far their start is back, and their codes.
+    parts = [(pair, back, pairs, 16) for back in range(2, depth + 1, 2)] + [(letter, depth, letters, 8)] * (depth % 2) + [(letter, 0, letters, 8)]
+    if math.prod(len(codes) for *_, codes, _ in parts) << row_bits > 1 << 64:
+        ids, codes = gram_ids(data, depth)
+        ids = ids[inside]
+        used = np.bincount(ids, minlength=len(codes)) > 0
+        return codes[used], (np.cumsum(used, dtype=np.int32) - 1)[ids], rows
+    places, at = np.empty(len(rows), np.uint64), 0
+    for start in range(0, n, CHUNK):
+        end = min(start + CHUNK, n)
+        key = np.zeros(end - start, np.uint64)
+        for number, back, codes, _ in parts:
+            here = slice(depth - back + start, depth - back + end)
+            key *= np.uint64(len(codes))
+            key += number[here] if number is pair else letter[data[here]]
+        key = key[inside[start:end]]
+        places[at : at + len(key)] = (key << np.uint64(row_bits)) | rows[at : at + len(key)]
+        at += len(key)
+    places.sort()
+    rows = (places & np.uint64((1 << row_bits) - 1)).astype(np.int32)
+    places >>= np.uint64(row_bits)
+    new = np.concatenate(([True], places[1:] != places[:-1]))[: len(places)]
+    grams, found, low = places[new], np.uint64(0), 0
+    for _, _, codes, bits in reversed(parts):
+        grams, number = np.divmod(grams, np.uint64(len(codes)))
+        found, low = found | (codes[number] << np.uint64(low)), low + bits
+    return found, np.cumsum(new, dtype=np.int32) - 1, rows
+
+
 def buckets_of(codes: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each gram, by the nearest ``TOP`` bytes of its context."""
     return (B.mixed(codes >> np.uint64(8 * (DEPTH - TOP + 1))) % np.uint64(buckets)).astype(np.int64)
@@ -111,23 +166,19 @@ class Parsed:
         pieces = [b" ".join(ws) + END for ws in words]
         data = np.frombuffer(b"".join(x for p in pieces for x in (pad, p)), np.uint8)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids, codes = gram_ids(data, DEPTH)
         padded = np.concatenate(([0], np.cumsum(lengths + DEPTH)))[:-1]
         text = np.ones(len(data), bool)
         text[(padded[:, None] + np.arange(DEPTH)).ravel()] = False
-        ids = ids[text[DEPTH:]]
-        used = np.bincount(ids, minlength=len(codes)) > 0
-        self.gram_starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        codes, gram, self.row_of = sorted_grams(data, text[DEPTH:], np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths), DEPTH)
         self.n_bytes = lengths
-        number = np.cumsum(used) - 1
-        codes = codes[used]
         # Grams are kept by bucket, in a bucket by code.
         bucket = buckets_of(codes, buckets)
-        order = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.codes, self.gram_edges = codes[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-        self.gram_of = rank[number[ids]]
+        # By place, not in the order of the text: its gram and its row.
+        self.gram_of = rank[gram]
 
 
 def _ask(buckets: int):
@@ -135,7 +186,7 @@ def _ask(buckets: int):
         parsed = Parsed(table["text"].to_pylist(), buckets)
         train = np.asarray(table["train"])
         words = np.bincount(parsed.word_of, weights=np.repeat(train, parsed.n_tokens), minlength=len(parsed.words)).astype(np.int64)
-        grams = np.bincount(parsed.gram_of, weights=np.repeat(train, parsed.n_bytes), minlength=len(parsed.codes)).astype(np.int64)
+        grams = np.bincount(parsed.gram_of[train[parsed.row_of]], minlength=len(parsed.codes))
         we, ge = B.bucket_edges(parsed.words, buckets), parsed.gram_edges
         cut = lambda x, e, b: x[e[b] : e[b + 1]]
         rows = [(b, cut(parsed.words, we, b).tobytes(), cut(words, we, b).tobytes(), packed_steps(cut(parsed.codes, ge, b)), packed(cut(grams, ge, b))) for b in range(buckets)]
@@ -331,12 +382,13 @@ def _read(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         return schema.empty_table()
     rows = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["found"].to_pylist(), answers["tokens"].to_pylist(), answers["known"].to_pylist()))
     parsed = Parsed(docs["text"].to_pylist(), buckets)
-    counts = np.frombuffer(b"".join(r[2] for r in rows if r[0] == 0), "<i8")[parsed.word_of]
-    lengths = np.frombuffer(b"".join(r[2] for r in rows if r[0] == 2), "<f4").astype(float)[parsed.gram_of]
+    counts = np.frombuffer(b"".join(r[2] for r in rows if r[0] == 0), "<i8")
+    lengths = np.frombuffer(b"".join(r[2] for r in rows if r[0] == 2), "<f4").astype(float)
+    score = np.bincount(parsed.row_of, weights=lengths[parsed.gram_of], minlength=docs.num_rows)
     n, v = sum(r[3] for r in rows if r[0] == 0), sum(r[4] for r in rows if r[0] == 0)
     sums = lambda x, starts: np.add.reduceat(x, starts)  # noqa: E731  no text is without an end
-    base = sums(np.log10(counts + 1.0), parsed.token_starts) - parsed.n_tokens * np.log10(n + v + 1.0)
-    columns = [docs["doc_id"], parsed.n_tokens, sums((counts > 0).astype(np.int64), parsed.token_starts), np.full(len(base), n), base, sums(lengths, parsed.gram_starts), parsed.n_bytes]
+    base = sums(np.log10(counts + 1.0)[parsed.word_of], parsed.token_starts) - parsed.n_tokens * np.log10(n + v + 1.0)
+    columns = [docs["doc_id"], parsed.n_tokens, sums((counts > 0).astype(np.int64)[parsed.word_of], parsed.token_starts), np.full(len(base), n), base, score, parsed.n_bytes]
     return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 

@@ -113,6 +113,48 @@ def test_grams_without_a_table(monkeypatch):
     assert ids.tolist() == again[0].tolist() and codes.tolist() == again[1].tolist()
 
 
+def rows_of(codes, grams, rows):
+    return sorted(zip(codes[grams].tolist(), rows.tolist()))
+
+
+def test_blocks_number_grams_by_one_sort(monkeypatch):
+    """No tables of all possible grams: a block's places are sorted with their rows."""
+    texts = [b"Banana  bandana", b"", b"na\tna\xc3\xa9", b"banana bandana"] * 40
+    want = Counter()
+    for r, t in enumerate(texts):
+        s = b"\0" * scoring.DEPTH + b" ".join(t.lower().split()) + b"\n"
+        want.update((int.from_bytes(s[i - scoring.DEPTH : i][::-1] + s[i : i + 1], "big"), r) for i in range(scoring.DEPTH, len(s)))
+    monkeypatch.setattr(scoring, "gram_ids", None)
+    monkeypatch.setattr(scoring, "CHUNK", 50, raising=False)
+    parsed = scoring.Parsed(texts, 5)
+    assert rows_of(parsed.codes, parsed.gram_of, parsed.row_of) == sorted(want.elements())
+    assert len(set(parsed.codes.tolist())) == len(parsed.codes) == len({c for c, _ in want})
+
+
+def test_sorted_grams_of_any_depth_and_beyond_64_bits(monkeypatch):
+    asked, plain = [], scoring.gram_ids
+    monkeypatch.setattr(scoring, "gram_ids", lambda *a: asked.append(a) or plain(*a))
+    few = np.random.default_rng(2).integers(97, 105, 3000).astype(np.uint8)
+    every_pair = np.arange(1 << 16, dtype=">u2").view(np.uint8)
+    for data, depths in ((few, (1, 2, 5, 6)), (every_pair, (6,))):
+        for depth in depths:
+            n = len(data) - depth
+            inside = np.arange(n) % 5 > 0
+            rows = (np.arange(n) // 3)[inside].astype(np.uint32)
+            codes, grams, found = scoring.sorted_grams(data, inside, rows, depth)
+            ids, every = plain(data, depth)
+            assert codes.tolist() == np.unique(every[ids[inside]]).tolist()
+            assert rows_of(codes, grams, found) == rows_of(every, ids[inside], rows)
+            assert bool(asked) == (data is every_pair)
+
+
+def test_names_of_words_do_not_hang_on_how_many_are_named_at_once(monkeypatch):
+    every = [b"w" * (i % 7) + str(i).encode() for i in range(50)]
+    whole = scoring.B.word_hashes(every, 11).tolist()
+    monkeypatch.setattr(scoring.B, "HASHED", 3, raising=False)
+    assert scoring.B.word_hashes(every, 11).tolist() == whole
+
+
 def test_packing():
     for numbers in ([], [5], [0, 3, 3, 1 << 62], [7, 1, (1 << 64) - 1]):
         x = np.array(numbers, np.uint64)
